@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, term_counts
+from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, quality, split_overlap, term_counts
 from bohagi.session import shared_dir, table
 
 
@@ -57,6 +57,21 @@ def p2_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf, "documents"), k=3, threshold=0.5, least_words=20)
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of evaluation splits that lie in train as well: images by hash, lines by text."""
+    a = split_overlap.image_overlap(table(spark, sf, "mozhi_words"))
+    b = split_overlap.text_overlap(table(spark, sf, "corpus_lines"))
+    return a.select(F.lit("image").alias("kind"), "id_a", "id_b").unionByName(b.select(F.lit("text").alias("kind"), "id_a", "id_b"))
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How many evaluation records lie in train, by split and source."""
+    w, c = table(spark, sf, "mozhi_words"), table(spark, sf, "corpus_lines")
+    a = split_overlap.overlap_report(split_overlap.image_overlap(w), w, "id", "split", "source_config")
+    b = split_overlap.overlap_report(split_overlap.text_overlap(c), c, "id", "split", "source_title")
+    return a.select(F.lit("image").alias("kind"), "split", "source", "records").unionByName(b.select(F.lit("text").alias("kind"), "split", "source", "records"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that a reader cannot tell apart although their characters differ."""
     a = lookalikes.same_looking(table(spark, sf, "corpus_lines"), "id", "text")
@@ -101,6 +116,16 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p4_found, p4_forms, p5_found, p5_splits, p7_found, p7_clean, p8_ids)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return quality.text_statistics(table(spark, sf, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality statistics of every document."""
+    return quality.text_statistics(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p7_found, p7_clean, p8_ids, p10_found, p10_statistics)}
 
 ORACLES: dict[str, str] = {}
