@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, quality, split_overlap, term_counts
+from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, packing, quality, split_overlap, term_counts
 from bohagi.session import shared_dir, table
 
 
@@ -116,6 +116,11 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf, "documents"))
 
 
+def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document (or part of one longer than that) in a container of 8,192 ids of byte_bpe_50k."""
+    return packing.pack_documents(table(spark, sf, "documents"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are lists, tables or junk."""
     return quality.text_statistics(table(spark, sf, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
@@ -126,6 +131,6 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p7_found, p7_clean, p8_ids, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 ORACLES: dict[str, str] = {}
