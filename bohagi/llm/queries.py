@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, packing, quality, split_overlap, term_counts
+from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, packing, quality, scans, split_overlap, term_counts
 from bohagi.session import shared_dir, table
 
 
@@ -101,6 +101,11 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
     return grouped_splits.grouped_splits(table(spark, sf, "corpus_lines"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of scanned pages with furniture, page numbers, broken words or misread characters."""
+    return scans.noise(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold at least 12 successive words of an evaluation item."""
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_passages"))
@@ -131,6 +136,6 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 ORACLES: dict[str, str] = {}
