@@ -18,9 +18,9 @@ def _regions(pages: DataFrame) -> DataFrame:
 
 
 def _text(pages: DataFrame, name: str) -> DataFrame:
-    """All lines of a page by region and line order; blank ones stay."""
-    rs = F.array_sort(F.transform("regions", lambda r, i: F.struct(r["order"].alias("o"), i.alias("i"), F.array_sort(F.transform(F.coalesce(r["lines"], F.array().cast("array<struct<text:string,order:int>>")), lambda x, k: F.struct(x["order"].alias("o"), k.alias("k"), x["text"].alias("t")))).alias("l"))))
-    return pages.select("doc", "page", F.array_join(F.transform(F.flatten(F.transform(rs, lambda r: r["l"])), lambda x: x["t"]), "\n").alias(name))
+    """All lines of a page by region and line order; blank ones stay. Regions may have no lines at all."""
+    rs = F.array_sort(F.transform("regions", lambda r, i: F.struct(r["order"].alias("o"), i.alias("i"), F.array_sort(F.transform(r["lines"], lambda x, k: F.struct(x["order"].alias("o"), k.alias("k"), x["text"].alias("t")))).alias("l"))))
+    return pages.select("doc", "page", F.array_join(F.transform(F.flatten(F.transform(F.filter(rs, lambda r: r["l"].isNotNull()), lambda r: r["l"])), lambda x: x["t"]), "\n").alias(name))
 
 
 def evaluate_documents(expected: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:

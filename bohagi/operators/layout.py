@@ -134,7 +134,7 @@ def arrange_pages(pages: DataFrame, keep: list[str], regions: str = "regions", l
     """keep columns and regions: duplicates suppressed, lines placed, all in reading order. Null arrays count
     as empty. One narrow stage."""
     fields = pages.schema[regions].dataType.simpleString()
-    d = pages.select(*keep, suppress_duplicates(F.coalesce(F.col(regions), F.array().cast(fields))).alias("regions"), F.coalesce(F.col(lines), F.array().cast(pages.schema[lines].dataType)).alias("lines"), F.col(width).cast("double").alias("width"), F.col(height).cast("double").alias("height"))
+    d = pages.select(*keep, suppress_duplicates(F.coalesce(F.col(regions), F.array().cast(fields))).alias("_regions"), F.coalesce(F.col(lines), F.array().cast(pages.schema[lines].dataType)).alias("_lines"), F.col(width).cast("double").alias("_width"), F.col(height).cast("double").alias("_height"))
 
     def run(batches):
         for b in batches:

@@ -24,12 +24,12 @@ def pack_words(sentence: Column, width: int) -> Column:
 def extract_lines(df: DataFrame, key: str, text: str, least: int = 8, width: int = 120, script: Script = ASSAMESE) -> DataFrame:
     """(key, line_no, line): the valid lines of each text, in order. A line that a word closed may be longer
     than width if it is one word; the rest of a sentence may not. Null texts give none. No shuffle."""
-    t = df.select(F.col(key), normalize_label(F.col(text)).alias("t")).where("t <> ''")
-    s = t.select(key, F.posexplode(F.split("t", r"(?<=[।!?])\s+")).alias("s", "sentence")).select(key, "s", pack_words(F.col("sentence"), width).alias("p"))
-    every = F.concat(F.transform(F.col("p.full"), lambda x: F.struct(x.alias("line"), F.lit(False).alias("rest"))), F.array(F.struct(F.col("p.rest").alias("line"), F.lit(True).alias("rest"))))
-    lines = s.select(key, "s", F.posexplode(every).alias("k", "x")).select(key, "s", "k", "x.line", "x.rest")
-    good = lines.where((F.length("line") >= least) & (~F.col("rest") | (F.length("line") <= width))).where(label_reason(F.col("line"), script, script.line_ratio) == "ok")
-    return good.select(key, (F.col("s") * 100_000 + F.col("k")).alias("line_no"), "line")
+    t = df.select(F.col(key).alias("_key"), normalize_label(F.col(text)).alias("_t")).where("_t <> ''")
+    s = t.select("_key", F.posexplode(F.split("_t", r"(?<=[।!?])\s+")).alias("_s", "_sentence")).select("_key", "_s", pack_words(F.col("_sentence"), width).alias("_p"))
+    every = F.concat(F.transform(F.col("_p.full"), lambda x: F.struct(x.alias("line"), F.lit(False).alias("rest"))), F.array(F.struct(F.col("_p.rest").alias("line"), F.lit(True).alias("rest"))))
+    lines = s.select("_key", "_s", F.posexplode(every).alias("_k", "_x")).select("_key", "_s", "_k", F.col("_x.line").alias("_line"), F.col("_x.rest").alias("_rest"))
+    good = lines.where((F.length("_line") >= least) & (~F.col("_rest") | (F.length("_line") <= width))).where(label_reason(F.col("_line"), script, script.line_ratio) == "ok")
+    return good.select(F.col("_key").alias(key), (F.col("_s") * 100_000 + F.col("_k")).alias("line_no"), F.col("_line").alias("line"))
 
 
 def corpus_lines(articles: DataFrame, cap: int | None = None) -> DataFrame:
