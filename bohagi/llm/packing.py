@@ -15,7 +15,8 @@ from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,23 +101,23 @@ def plan(histogram: dict[int, int], bins: int = BINS, depth: int = DEPTH, least:
     return [(ps[j], int(n[j])) for j in np.flatnonzero(n)]
 
 
-def _fill(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _fill(block: pa.Table, capacity: int) -> pa.Table:
     """Best fit, longest item first, into the rooms of a block and into new containers."""
-    rooms = [(int(r), int(c)) for r, c in zip(pdf["room"], pdf["container"]) if r > 0]
-    rooms.sort()
-    items = pdf[pdf["room"] == 0].sort_values(["length", "doc_id", "part"], ascending=[False, True, True])
-    out, fresh, block = [], 0, int(pdf["block"].iloc[0])
-    for n in items["length"].tolist():
+    rooms = sorted((r, c) for r, c in zip(block["room"].to_pylist(), block["container"].to_pylist()) if r > 0)
+    items = block.filter(pc.equal(block["room"], 0))
+    items = items.take(pc.sort_indices(items, [("length", "descending"), ("doc_id", "ascending"), ("part", "ascending"), ("start", "ascending")]))
+    out, fresh, number = [], 0, block["block"][0].as_py()
+    for n in items["length"].to_pylist():
         i = bisect_left(rooms, (n, -1 << 62))
         if i < len(rooms):
             room, c = rooms.pop(i)
         else:
-            room, c = capacity, -(1 + block * (1 << 32) + fresh)
+            room, c = capacity, -(1 + number * (1 << 32) + fresh)
             fresh += 1
         out.append(c)
-        if room - n > 0:
+        if room > n:
             insort(rooms, (room - n, c))
-    return pd.DataFrame({"doc_id": items["doc_id"], "part": items["part"], "start": items["start"], "length": items["length"], "container": np.array(out, np.int64)})
+    return items.select(["doc_id", "part", "start", "length"]).append_column("container", pa.array(out, pa.int64()))
 
 
 def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_ids") -> DataFrame:
@@ -162,7 +163,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_id
     rest = first.where("container is null and length > 0").select("doc_id", "part", "start", "length", F.lit(0).cast("long").alias("room"), null.cast("long").alias("container"), F.pmod(F.xxhash64("doc_id", "part"), F.lit(blocks)).alias("block"))
     free = rooms.select(null.cast(first.schema["doc_id"].dataType).alias("doc_id"), null.cast("int").alias("part"), null.cast("long").alias("start"), null.cast("long").alias("length"), "room", "container", F.pmod(F.xxhash64("container"), F.lit(blocks)).alias("block"))
     kind = first.schema["doc_id"].dataType.simpleString()
-    second = rest.unionByName(free).groupBy("block").applyInPandas(lambda pdf: _fill(pdf, capacity), f"doc_id {kind}, part int, start long, length long, container long")
+    second = rest.unionByName(free).groupBy("block").applyInArrow(lambda t: _fill(t, capacity), f"doc_id {kind}, part int, start long, length long, container long")
     nothing = first.where("length = 0 and container is null")
     return fitted.unionByName(second).unionByName(nothing)
 

@@ -106,6 +106,11 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.noise(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"))
 
 
+def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Readable paragraphs of every page."""
+    return scans.paragraphs(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold at least 12 successive words of an evaluation item."""
     return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_passages"))
@@ -136,6 +141,24 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p6_paragraphs, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
+
+#: White space as Python counts it, for DuckDB.
+_WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NORM = f"trim(regexp_replace(nfc_normalize(text), '{_WS}+', ' ', 'g'))"
+_WORDS = f"SELECT doc_id AS k, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL"
+_LETTERS = f"SELECT row_number() OVER () AS k, regexp_extract_all({_NORM}, '(?s).') AS t FROM corpus_lines WHERE text IS NOT NULL"
+_COUNTS = "SELECT term, count(*) AS occurrences, count(DISTINCT k) AS records FROM (SELECT k, unnest(t) AS term FROM ({0})) GROUP BY 1"
+_MARKED = "SELECT '{0}' AS collection, term, m AS mark FROM ({1}) c, (VALUES ('rare'), ('common')) v(m), (SELECT count(*) AS n FROM ({2})) z WHERE (m = 'rare' AND records < 3) OR (m = 'common' AND records * 2 > n)"
+
+#: SQL of the queries that SQL can express over whole tables.
+ORACLES: dict[str, str] = {
+    "p1_found": _MARKED.format("characters", _COUNTS.format(_LETTERS), _LETTERS) + " UNION ALL " + _MARKED.format("words", _COUNTS.format(_WORDS), _WORDS),
+    "p1_counts": f"SELECT 'characters' AS collection, * FROM ({_COUNTS.format(_LETTERS)}) UNION ALL SELECT 'words', * FROM ({_COUNTS.format(_WORDS)})",
+    "p1_after_changes": _COUNTS.format(_WORDS),
+    "p2_found": f"""WITH w AS (SELECT k, t FROM ({_WORDS}) WHERE len(t) >= 20),
+s AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM w),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.k AS x, b.k AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
+SELECT x AS doc_id_a, y AS doc_id_b FROM o JOIN n p ON p.k = x JOIN n q ON q.k = y WHERE 2 * o >= p.n + q.n - o""",
+}

@@ -9,8 +9,9 @@ hold no forest in one task. Both ways give the same labels: the least node of th
 
 from __future__ import annotations
 
-import pyarrow as pa
 from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,16 +64,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", block: int = BLOCK)
     links = materialize(e.mapInArrow(_forest, schema), "forest")
     parts = max(1, links.rdd.getNumPartitions())
     n = links.count()
-    while parts > 1 and n:
+    while parts > 1 or n > block:
         parts = max(1, parts // FAN_IN)
         if n > block * parts:
-            break
-        merged = links.coalesce(parts) if parts > 1 else links.repartition(1)
-        links = materialize(merged.mapInArrow(_forest, schema), "forest")
+            return _stars(links)
+        links = materialize(links.coalesce(parts).mapInArrow(_forest, schema), "forest")
         n = links.count()
-        if parts == 1:
-            return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-    return _stars(links)
+    return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def _stars(links: DataFrame) -> DataFrame:
