@@ -441,3 +441,34 @@ def word_crop_exclusions(spark, sf):
 def lines_by_page(spark, sf):
     p = F.coalesce(F.regexp_extract("source_page", r"(\d+)$", 1).cast("int"), F.lit(-1)).alias("page")
     return table(spark, sf, "detected_lines").groupBy("source_document", p).agg(F.count("*").alias("n"), F.count_distinct("line_index").alias("lines"), F.count("prediction").alias("predicted"))
+
+
+@_query(f"""WITH v AS ({_VOCAB}), a AS (SELECT list(char) AS a FROM v), t AS (SELECT DISTINCT id, {_NORM} AS n FROM corpus_lines WHERE {_SPLIT} = 'train'), d AS (SELECT n, regexp_extract_all(n, '(?s).') AS c FROM t WHERE n IS NOT NULL),
+r AS (SELECT CASE WHEN len(list_filter(c, lambda x: NOT list_contains(a, x))) > 0 THEN 1 WHEN (length(n) + coalesce(list_sum(list_transform(list_zip(c, c[2:]), lambda p: CAST(p[1] = p[2] AS INT))), 0)) * 4 > 400 THEN 2 ELSE 0 END AS r FROM d, a)
+SELECT CAST(count_if(r = 0) AS BIGINT) AS kept, CAST(count_if(r = 1) AS BIGINT) AS outside_vocabulary, CAST(count_if(r = 2) AS BIGINT) AS too_many_steps FROM r""")
+def synthetic_fit(spark, sf):
+    """How many training lines a vocabulary and a canvas of 400 pixels can take."""
+    from bohagi.plans import synthetic
+
+    v = vocabulary.Vocabulary.of(_train_vocab(spark, sf))
+    d = table(spark, sf, "corpus_lines").withColumn("split", t.split_name(F.col("split"))).select("id", "text", "split")
+    rows = synthetic.renderable(d, v.array(), 400).select("id", "text", "reason").distinct()
+    return synthetic.fit_counts(rows)
+
+
+@_query(f"SELECT split, count(*) AS n FROM (SELECT {_SPLIT} AS split, row_number() OVER (ORDER BY id, split) AS n FROM (SELECT DISTINCT id, {_SPLIT} AS split FROM corpus_lines)) WHERE n <= 5000 GROUP BY 1")
+def capped_split_counts(spark, sf):
+    """Lines of each split under a cap of 5,000 lines in order of id (the cap is the reported limit)."""
+    d = table(spark, sf, "corpus_lines").select("id", t.split_name(F.col("split")).alias("split")).distinct()
+    return d.orderBy(F.col("id"), F.col("split").asc_nulls_last()).limit(5000).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT a.char FROM (SELECT DISTINCT {_CHARS.format('n')} AS char FROM (SELECT {_NORM} AS n FROM corpus_lines)) a INTERSECT SELECT DISTINCT {_CHARS.format('n')} FROM (SELECT {_NORM} AS n FROM mozhi_words)")
+def shared_characters(spark, sf):
+    return vocabulary.distinct_characters(table(spark, sf, "corpus_lines")).intersect(vocabulary.distinct_characters(table(spark, sf, "mozhi_words")))
+
+
+@_query("SELECT source_page, line_index, array_to_string(list_transform(range(1, len(w) + 1), lambda i: w[i]), ' ') AS words, CAST(len(w) AS INT) AS n FROM (SELECT DISTINCT source_page, line_index, list_filter(string_split(trim(regexp_replace(transcription, '" + _WS + "+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM aligned_lines WHERE transcription IS NOT NULL)")
+def line_words(spark, sf):
+    d = table(spark, sf, "aligned_lines").where("transcription is not null").select("source_page", "line_index", t.words(F.col("transcription")).alias("w")).distinct()
+    return d.select("source_page", "line_index", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))

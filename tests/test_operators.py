@@ -231,3 +231,40 @@ def test_stream(spark, tmp_path):
     corpus.run_once(s.select("id", "text", "split"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0]["text"].count(" ") == 1
+
+
+def test_training_curve(spark):
+    from bohagi.operators import curves
+
+    steps = spark.createDataFrame([("a", e, float(x)) for e in range(1, 6) for x in (e, e + 2)], "run string, epoch int, loss double")
+    ev = spark.createDataFrame([("a", e, r) for e, r in zip(range(1, 6), (0.5, 0.4, 0.45, 0.4, 0.6))], "run string, epoch int, rate double")
+    c = curves.training_curve(steps, ev).orderBy("epoch").collect()
+    assert [r["best"] for r in c] == [0.5, 0.4, 0.4, 0.4, 0.4] and [r["stale"] for r in c] == [0, 0, 1, 2, 3] and c[0]["mean_loss"] == 2.0
+    assert curves.stopped_at(curves.training_curve(steps, ev), 2).first()["epoch"] == 4
+
+
+def test_commands(spark, tmp_path):
+    from bohagi.__main__ import main
+
+    spark.createDataFrame([("1", "t", "অসমীয়া আমাৰ মাতৃভাষা। This sentence is English.")], "id string, title string, text string").write.parquet(str(tmp_path / "articles"))
+    assert main(["prepare-corpus", str(tmp_path / "articles"), str(tmp_path / "corpus")]) == 0
+    got = readers.read_corpus(spark, str(tmp_path / "corpus")).collect()
+    assert [(r["id"], r["source_title"]) for r in got] == [("wikipedia:1:0", "t")]
+    (tmp_path / "m.json").write_text(json.dumps({"cer": 0.02, "size_mb": 3.0, "ra_coverage": 120, "wa_coverage": 99}))
+    assert main(["check-release", str(tmp_path / "m.json")]) == 1
+    rows = [("1", "অসম", "aa", "train", 10, 5), ("2", "অসম", "AA", "test", 10, 5), ("3", "only", "bb", "train", 10, 5)]
+    spark.createDataFrame(rows, "id string, text string, image_sha256 string, split string, image_width int, image_height int").write.parquet(str(tmp_path / "crops"))
+    assert main(["prepare-words", str(tmp_path / "crops"), str(tmp_path / "words")]) == 0
+    assert spark.read.parquet(str(tmp_path / "words/rows")).count() == 1
+
+
+def test_silver_line_gates(spark):
+    from bohagi.plans import silver_lines as s
+
+    d = spark.createDataFrame([(4, "i", 1, "CC BY-SA", "x" * 30), (4, "i", 1, "cc-by", "x" * 30), (3, "i", 1, "cc0", ""), (4, None, 1, "cc0", ""), (4, "i", None, "cc0", ""), (4, "i", 1, "cc0", "short"), (4, "i", 1, "cc0", "অসমীয়া ভাষা আৰু সাহিত্যৰ কথা")], "q int, i string, r long, l string, t string")
+    got = [r[0] for r in d.select(s.page_reason(*[F.col(c) for c in "qirlt"])).collect()]
+    assert got == ["low_assamese_script_ratio", "unusable_license", "not_validated", "missing_image", "missing_revision", "short_text", "ok"]
+    lines = spark.createDataFrame([("অসম", 0.5), ("অস", 0.9), ("word", 0.9), ("অসম", 0.9)], "t string, s double")
+    assert [r[0] for r in lines.select(s.line_reason(F.col("t"), F.col("s"), F.lit(True), F.lit(10), F.lit(10))).collect()] == ["low_alignment", "short_text", "low_assamese_script_ratio", "ok"]
+    t = spark.createDataFrame([("a.PDF",), ("b.djvu",), ("c.txt",)], "t string")
+    assert [r[0] for r in t.select(s.is_scan_title(F.col("t"), True)).collect()] == [True, True, False]
