@@ -117,11 +117,32 @@ def leaked(docs: DataFrame, items: DataFrame, k: int = 12, key: str = "doc_id",
     return d.join(e, "h").select("doc_id", "item_id").distinct()
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, k: int = 12, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, removed): every document, the pieces that hold a word of a leaked run taken out
-    (removed counts them). Documents without a leak keep their text as it is; the item set is broadcast."""
-    rows = [(r[0], r[1]) for r in items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct().collect()]
-    known = np.unique(np.concatenate([windows(_hashes.array(compared_words(t)), k) for _, t in rows] or [np.empty(0, np.uint64)]))
+def _cut(text: str, k: int, at: list[int]) -> tuple[str, int]:
+    """The text without the pieces that hold a word of the runs of k words that begin at these places."""
+    ps = text.split()
+    owner = [i for i, p in enumerate(ps) for _ in _bare[p]]
+    bad = {owner[j] for s in at for j in range(s, s + k)}
+    return " ".join(p for i, p in enumerate(ps) if i not in bad), len(bad)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, k: int = 12, key: str = "doc_id", text: str = "text", limit: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, text, removed): every document, the pieces that hold a word of a leaked run taken out (removed
+    counts them). Documents without a leak keep their text as it is, null and empty ones too. Item sets of
+    more windows than limit are not broadcast: documents' windows meet them by a shuffle join, and the
+    places of a document's hits are joined back to it (documents with a null key keep their text then)."""
+    it = items.where(F.col("item_id").isNotNull() & F.col(text).isNotNull()).select(F.col("item_id").cast("long"), F.col(text)).distinct()
+    size = it.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    names, schema = ["doc_id", "text", "removed"], "doc_id long, text string, removed int"
+    if size > 4 * limit:
+        hits = _places(d, k).join(_window_rows(it, "item_id", text, k, "item_id").select("h").distinct(), "h", "left_semi").groupBy("doc_id").agg(F.array_distinct(F.collect_list("at")).alias("at"))
+
+        def apply(b: pa.RecordBatch):
+            got = [(t, 0) if not at or not t else _cut(t, k, at) for t, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.int32())], names)
+
+        return map_batches(d.join(hits, "doc_id", "left").select("doc_id", "text", "at"), apply, schema)
+    known = np.unique(np.concatenate([windows(_hashes.array(compared_words(r[1])), k) for r in it.collect()] or [np.empty(0, np.uint64)]))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(b: pa.RecordBatch):
@@ -129,15 +150,25 @@ def without_leaks(docs: DataFrame, items: DataFrame, k: int = 12, key: str = "do
         for t in b.column(1).to_pylist():
             n = 0
             if t:
-                ps = t.split()
-                owner = [i for i, p in enumerate(ps) for _ in _bare[p]]
-                h = windows(_hashes.array([w for p in ps for w in _bare[p]]), k)
-                hit = np.flatnonzero(np.isin(h, known))
-                if len(hit):
-                    bad = {owner[j] for s in hit.tolist() for j in range(s, s + k)}
-                    n, t = len(bad), " ".join(p for i, p in enumerate(ps) if i not in bad)
+                at = np.flatnonzero(np.isin(windows(_hashes.array(compared_words(t)), k), known))
+                if len(at):
+                    t, n = _cut(t, k, at.tolist())
             out.append(t)
             gone.append(n)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(gone, pa.int32())], ["doc_id", "text", "removed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(gone, pa.int32())], names)
+
+    return map_batches(d, run, schema)
+
+
+def _places(df: DataFrame, k: int) -> DataFrame:
+    """(doc_id, h, at) of every window of documents with a key."""
+
+    def run(b: pa.RecordBatch):
+        for i in range(0, b.num_rows, 256):
+            p = b.slice(i, 256)
+            hs = [windows(_hashes.array(compared_words(t)), k) if t else np.empty(0, np.uint64) for t in p.column(1).to_pylist()]
+            n = [len(h) for h in hs]
+            at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p.column(0).to_numpy(zero_copy_only=False), n).astype(np.int64)), pa.array(np.concatenate(hs).view(np.int64)), pa.array(at)], ["doc_id", "h", "at"])
 
-    return map_batches(docs.select(F.col(key).cast("long"), F.col(text)), run, "doc_id long, text string, removed int")
+    return map_batches(df.where("doc_id is not null"), run, "doc_id long, h long, at int")

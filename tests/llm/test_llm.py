@@ -200,6 +200,8 @@ def test_leakage(spark):
     clean = {r["doc_id"]: r for r in leakage.without_leaks(d, e).collect()}
     assert clean[100]["text"] == "x y" and clean[100]["removed"] == 12 and clean[101]["removed"] == 0 and clean[106]["text"] is None
     assert leakage.leaked(leakage.without_leaks(d, e), e).count() == 0
+    other = {r["doc_id"]: r for r in leakage.without_leaks(d, e, limit=0).collect()}
+    assert {i: (r["text"], r["removed"]) for i, r in clean.items() if i is not None} == {i: (r["text"], r["removed"]) for i, r in other.items() if i is not None}
 
 
 def distance(a, b):
