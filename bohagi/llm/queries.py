@@ -103,12 +103,12 @@ def p5_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of scanned pages with furniture, page numbers, broken words or misread characters."""
-    return scans.noise(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"))
+    return scans.noise(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"), table(spark, sf, "corpus_lines"))
 
 
 def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Readable paragraphs of every page."""
-    return scans.paragraphs(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"))
+    return scans.paragraphs(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"), table(spark, sf, "corpus_lines"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
