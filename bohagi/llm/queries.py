@@ -156,6 +156,9 @@ ORACLES: dict[str, str] = {
     "p1_found": _MARKED.format("characters", _COUNTS.format(_LETTERS), _LETTERS) + " UNION ALL " + _MARKED.format("words", _COUNTS.format(_WORDS), _WORDS),
     "p1_counts": f"SELECT 'characters' AS collection, * FROM ({_COUNTS.format(_LETTERS)}) UNION ALL SELECT 'words', * FROM ({_COUNTS.format(_WORDS)})",
     "p1_after_changes": _COUNTS.format(_WORDS),
+    "p5_found": f"""WITH RECURSIVE f AS (SELECT DISTINCT split_part(id, ':', 2) AS s, nullif(trim(regexp_replace(nfc_normalize(source_title), '{_WS}+', ' ', 'g')), '') AS t, nullif(lower(trim(split)), '') AS p FROM corpus_lines WHERE split_part(id, ':', 2) <> ''),
+r AS (SELECT DISTINCT s, s AS o FROM f UNION SELECT r.s, b.s FROM r JOIN f a ON a.s = r.o JOIN f b ON b.t = a.t)
+SELECT r.s AS source_id FROM r JOIN f ON f.s = r.o WHERE f.p IS NOT NULL GROUP BY 1 HAVING count(DISTINCT f.p) > 1""",
     "p2_found": f"""WITH w AS (SELECT k, t FROM ({_WORDS}) WHERE len(t) >= 20),
 s AS (SELECT DISTINCT k, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS g FROM w),
 n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
