@@ -2,7 +2,8 @@
 
 Layout evidence comes from the lines: vertical delimiter alignment (the share of lines that have the
 usual number of a delimiter), indentation and mark periodicity (the share of lines that begin like an
-entry, and of the words that stand in such lines), and autocorrelation of line lengths. It is combined with ratios of
+entry, of the words that stand in such lines, and of lines that are set in as far as the one before or
+the one before that), and autocorrelation of line lengths. It is combined with ratios of
 words, symbols, line endings and common words.
 """
 
@@ -35,7 +36,7 @@ _EDGE = "।৷|.,!?;:()[]{}\"'“”‘’…-–—"
 
 FIELDS = (
     "n_words int, mean_word_length double, letter_ratio double, symbol_ratio double, digit_ratio double, n_lines int, ended_lines double, common_words double, "
-    "marked_lines double, aligned_lines double, delimiter string, repeated_lines double, repeated_words double, short_lines double, length_autocorrelation double, single_letters double, mojibake double, entry_words double"
+    "marked_lines double, aligned_lines double, delimiter string, repeated_lines double, repeated_words double, short_lines double, length_autocorrelation double, single_letters double, mojibake double, entry_words double, indent_period double"
 )
 NAMES = [f.split(" ")[0] for f in FIELDS.split(", ")]
 
@@ -62,11 +63,19 @@ def alignment(lines: list[str]) -> tuple[float, str]:
     return best, name
 
 
+def indent_period(lines: list[str]) -> float:
+    """Share of lines set in as far as one of the two before them; 0 where no line is set in."""
+    ins = [len(x) - len(x.lstrip()) for x in lines]
+    if len(lines) < 3 or not any(ins):
+        return 0.0
+    return sum(a > 0 and a in (b, c) for c, b, a in zip(ins, ins[1:], ins[2:])) / (len(lines) - 2)
+
+
 def statistics(text: str | None, common: frozenset[str] = COMMON_WORDS) -> tuple:
     """The fields of one text; zeros for null, empty and blank ones."""
     ws = _WORD.findall(text) if text else []
     if not ws:
-        return (0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, "", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, 0.0, 0.0, "", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     assert text is not None
     lines = [x for x in text.split("\n") if x.strip()]
     n, solid = len(lines), sum(map(len, ws))
@@ -101,6 +110,7 @@ def statistics(text: str | None, common: frozenset[str] = COMMON_WORDS) -> tuple
         sum(len(w) <= 1 for w in ws) / len(ws),
         len(_LATIN1.findall(text)) / solid,
         sum(k for k, m, e in zip(sizes, marked, ended) if m or k <= 6 and not e) / len(ws),
+        indent_period(lines),
     )
 
 
@@ -125,6 +135,8 @@ def kind_of(s: dict) -> str | None:
         return "prose"
     if n >= 3 and s["marked_lines"] >= 0.6:
         return "list"
+    if n >= 4 and s["indent_period"] >= 0.5 and s["ended_lines"] < 0.5:
+        return "list"
     if n >= 4 and s["short_lines"] >= 0.8 and s["ended_lines"] < 0.35 and s["length_autocorrelation"] < 0.95:
         return "list"
     return "prose"
