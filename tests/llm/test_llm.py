@@ -238,7 +238,8 @@ def test_split_overlap_against_brute_force(spark):
     want = {tuple(sorted((a[0], b[0]))) for a in recs for b in recs if a[2] == "train" != b[2] and a[0] != b[0] and abs(len(a[1]) - len(b[1])) <= max(len(a[1]), len(b[1])) // 10 and (a[1] == b[1] or distance(a[1], b[1]) <= max(len(a[1]), len(b[1])) // 10)}
     got = [tuple(r) for r in split_overlap.text_overlap(d).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 250
-    assert split_overlap.text_overlap(d.limit(0)).count() == 0
+    assert sorted(map(tuple, split_overlap.text_overlap(d, fill=-1).collect())) == sorted(want)
+    assert split_overlap.text_overlap(d.limit(0)).count() == 0 == split_overlap.text_overlap(d.limit(0), fill=-1).count()
 
 
 def test_image_overlap(spark):
