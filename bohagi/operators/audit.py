@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bohagi.functions.geometry import resized_width
 from bohagi.functions.text import ASSAMESE, Script, characters, label_reason, normalize_label
+from bohagi.session import materialize
 
 
 def audit_texts(df: DataFrame, text: str, by: list[str], script: Script = ASSAMESE) -> DataFrame:
@@ -45,11 +48,29 @@ def width_audit(df: DataFrame, width: str, height: str, by: list[str], limit: in
     return h.groupBy(*by).agg(lower_percentile("w", 0.5).alias("median"), lower_percentile("w", 0.95).alias("p95"), F.coalesce(F.max("w"), F.lit(0)).alias("maximum"), F.coalesce(F.sum(F.when(F.col("w") > limit, F.col("n")).otherwise(0)), F.lit(0)).alias("over_limit"))
 
 
+def sorted_elements(df: DataFrame, value: str, places: Callable[[int], list[int]]) -> list:
+    """The elements at given places (from 0) of the sorted non-null values. Values are sorted over the tasks and
+    one count a task tells where a place lies; no list of values is gathered."""
+    d = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    rows = materialize(d.repartitionByRange("v").sortWithinPartitions("v").withColumn("at", F.monotonically_increasing_id()), "sorted")
+    counts = [(r["task"], r["n"]) for r in rows.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect()]
+    wanted = places(sum(n for _, n in counts))
+    ids = []
+    for p in wanted:
+        for task, n in counts:
+            if p < n:
+                ids.append((task << 33) + p)
+                break
+            p -= n
+    got = {r["at"]: r["v"] for r in rows.where(F.col("at").isin(ids)).collect()}
+    return [got[i] for i in ids]
+
+
 def latency_summary(df: DataFrame, value: str) -> DataFrame:
-    """(median, p95): p95 is the element at int(n * 0.95), the median the mean of the middle two."""
-    s = df.agg(F.array_sort(F.collect_list(value)).alias("v"), F.median(value).alias("median"))
-    n = F.size("v")
-    return s.select("median", F.element_at("v", F.least(n, F.floor(n * 0.95).cast("int") + 1)).alias("p95"))
+    """(median, p95): p95 is the element at int(n * 0.95), the median the mean of the middle two; null where
+    there are no values."""
+    v = sorted_elements(df, value, lambda n: [(n - 1) // 2, n // 2, min(n - 1, int(n * 0.95))] if n else [])
+    return df.sparkSession.createDataFrame([((v[0] + v[1]) / 2, float(v[2])) if v else (None, None)], "median double, p95 double")
 
 
 def page_audit(detected: DataFrame, accepted: DataFrame) -> DataFrame:

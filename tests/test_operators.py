@@ -46,6 +46,9 @@ def test_leakage_cleanup(spark):
 def test_percentiles(spark):
     d = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 1), (1, 4, 1)], "g int, w int, n long")
     assert d.groupBy("g").agg(audit.lower_percentile("w", 0.95).alias("p")).first()["p"] == 3
+    v = spark.createDataFrame([(x,) for x in (5.0, 1.0, 3.0, 2.0, 2.0, None, 9.0, 4.0)], "v double")
+    assert tuple(audit.latency_summary(v, "v").first()) == (3.0, 9.0)
+    assert tuple(audit.latency_summary(v.limit(0), "v").first()) == (None, None)
 
 
 def _regions(*rows):
