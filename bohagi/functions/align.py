@@ -58,12 +58,24 @@ def align_characters(ref: Column, hyp: Column) -> Column:
     return run(ref, hyp)
 
 
-def aligned_count(ref: Column, hyp: Column, char: str) -> Column:
-    """How many occurrences of a character are aligned with itself."""
+def aligned_counts(ref: Column, hyp: Column, chars: tuple[str, ...]) -> Column:
+    """array<int>: how many occurrences of each character are aligned with themselves. One alignment a pair, and
+    none where the texts are equal or have none of the characters."""
 
-    @F.arrow_udf("int")
+    @F.arrow_udf("array<int>")
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None or y is None else 0 if char not in x else sum(r == h == char for r, h in align_pair(x, y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+        out: list[list[int] | None] = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            if x is None or y is None:
+                out.append(None)
+            elif x == y:
+                out.append([x.count(c) for c in chars])
+            elif not any(c in x and c in y for c in chars):
+                out.append([0] * len(chars))
+            else:
+                same = [r for r, h in align_pair(x, y) if r == h]
+                out.append([same.count(c) for c in chars])
+        return pa.array(out, pa.list_(pa.int32()))
 
     return run(ref, hyp)
 

@@ -2,34 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import unicodedata
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bohagi.functions.text import ASSAMESE, Script, label_reason, normalize_label, stable_split
+from bohagi.functions.text import ASSAMESE, Script, label_reason, stable_split
 
 
-def pack_words(sentence: Column, width: int) -> Column:
-    """array<string>: words joined while they fit; a word that doesn't fit begins the next line."""
-    words = F.filter(F.split(sentence, " "), lambda w: w != "")
-    zero = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+_SENTENCE = re.compile(r"(?<=[।!?])\s+")
 
-    def step(acc: Column, w: Column) -> Column:
-        longer = F.when(acc["cur"] == "", w).otherwise(F.concat_ws(" ", acc["cur"], w))
-        full = (acc["cur"] != "") & (F.length(longer) > width)
-        return F.struct(F.when(full, w).otherwise(longer).alias("cur"), F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(words, zero, step, lambda acc: F.struct(acc["out"].alias("full"), acc["cur"].alias("rest")))
+def packed(text: str, width: int) -> list[tuple[str, bool]]:
+    """(line, closed) of a text: its sentences' words joined while they fit. A word that doesn't fit closes a
+    line; the rest of a sentence is not closed."""
+    out = []
+    for sentence in _SENTENCE.split(" ".join(unicodedata.normalize("NFC", text).split())):
+        line = ""
+        for w in sentence.split(" "):
+            if not line:
+                line = w
+            elif len(line) + 1 + len(w) > width:
+                out.append((line, True))
+                line = w
+            else:
+                line += " " + w
+        out.append((line, False))
+    return out
 
 
 def extract_lines(df: DataFrame, key: str, text: str, least: int = 8, width: int = 120, script: Script = ASSAMESE) -> DataFrame:
     """(key, line_no, line): the valid lines of each text, in order. A line that a word closed may be longer
-    than width if it is one word; the rest of a sentence may not. Null texts give none. No shuffle."""
-    t = df.select(F.col(key).alias("_key"), normalize_label(F.col(text)).alias("_t")).where("_t <> ''")
-    s = t.select("_key", F.posexplode(F.split("_t", r"(?<=[।!?])\s+")).alias("_s", "_sentence")).select("_key", "_s", pack_words(F.col("_sentence"), width).alias("_p"))
-    every = F.concat(F.transform(F.col("_p.full"), lambda x: F.struct(x.alias("line"), F.lit(False).alias("rest"))), F.array(F.struct(F.col("_p.rest").alias("line"), F.lit(True).alias("rest"))))
-    lines = s.select("_key", "_s", F.posexplode(every).alias("_k", "_x")).select("_key", "_s", "_k", F.col("_x.line").alias("_line"), F.col("_x.rest").alias("_rest"))
-    good = lines.where((F.length("_line") >= least) & (~F.col("_rest") | (F.length("_line") <= width))).where(label_reason(F.col("_line"), script, script.line_ratio) == "ok")
-    return good.select(F.col("_key").alias(key), (F.col("_s") * 100_000 + F.col("_k")).alias("line_no"), F.col("_line").alias("line"))
+    than width if it is one word; the rest of a sentence may not. Null texts give none. Normal form and packing
+    are one Arrow pass, validation stays in the JVM. No shuffle."""
+
+    def run(batches):
+        for b in batches:
+            at, no, lines = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for k, (line, done) in enumerate(packed(t, width)) if t else ():
+                    if len(line) >= least and (done or len(line) <= width):
+                        at.append(i)
+                        no.append(k)
+                        lines.append(line)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(no, pa.int32()), pa.array(lines, pa.string())], ["_key", "line_no", "line"])
+
+    kind = df.schema[key].dataType.simpleString()
+    got = df.select(F.col(key), F.col(text)).mapInArrow(run, f"_key {kind}, line_no int, line string")
+    return got.where(label_reason(F.col("line"), script, script.line_ratio) == "ok").select(F.col("_key").alias(key), "line_no", "line")
 
 
 def corpus_lines(articles: DataFrame, cap: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bohagi.functions.align import aligned_count
+from bohagi.functions.align import aligned_counts
 from bohagi.functions.text import WS, occurrences, word_distance
 
 COUNTS = ("samples", "char_errors", "characters", "word_errors", "words", "exact")
@@ -16,8 +16,8 @@ def pair_counts(df: DataFrame, reference: str, hypothesis: str, keep: list[str]
     r, h = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(hypothesis), F.lit(""))
     rw, hw = (F.filter(F.split(x, WS + "+"), lambda w: w != "") for x in (r, h))
     return df.select(
-        *(keep or []), F.lit(1).alias("samples"), F.levenshtein(r, h).alias("char_errors"), F.length(r).alias("characters"),
-        word_distance(rw, hw).alias("word_errors"), F.size(rw).alias("words"), (r == h).cast("int").alias("exact"))
+        *(keep or []), F.lit(1).alias("samples"), F.when(r == h, 0).otherwise(F.levenshtein(r, h)).alias("char_errors"), F.length(r).alias("characters"),
+        F.when(r == h, 0).otherwise(word_distance(rw, hw)).alias("word_errors"), F.size(rw).alias("words"), (r == h).cast("int").alias("exact"))
 
 
 def merge(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -41,7 +41,8 @@ def ocr_metrics(df: DataFrame, reference: str, hypothesis: str, by: list[str]) -
 def character_recall(df: DataFrame, reference: str, hypothesis: str, chars: tuple[str, ...], by: list[str]) -> DataFrame:
     """(by, char, reference_count, matched, recall) from the alignment of each pair."""
     r, h = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(hypothesis), F.lit(""))
-    rows = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("char"), occurrences(r, c).alias("n"), aligned_count(r, h, c).alias("m")) for c in chars])).alias("x"))
+    pairs = df.select(*by, F.array(*[occurrences(r, c) for c in chars]).alias("_n"), aligned_counts(r, h, chars).alias("_m"))
+    rows = pairs.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in chars]).alias("char"), F.col("_n").alias("n"), F.col("_m").alias("m"))).alias("x"))
     s = rows.groupBy(*by, "x.char").agg(F.sum("x.n").cast("long").alias("reference_count"), F.sum("x.m").cast("long").alias("matched"))
     return s.withColumn("recall", _ratio("matched", "reference_count"))
 
