@@ -164,3 +164,18 @@ def order_pairs(matches: DataFrame, page: list[str], expected_order: str, predic
     later = F.aggregate(F.transform("m", lambda x, i: F.size(F.filter("m", lambda y, j: (j > i) & (y["p"] > x["p"])))), F.lit(0), lambda s, n: s + n)
     s = m.agg(F.coalesce(F.sum(later), F.lit(0)).cast("long").alias("concordant"), F.coalesce(F.sum(F.expr("size(m) * (size(m) - 1) div 2")), F.lit(0)).cast("long").alias("comparable"))
     return s.withColumn("accuracy", F.round(F.col("concordant") / F.greatest(F.lit(1), F.col("comparable")), 6))
+
+
+def order_lines(lines: DataFrame, page: list[str], key: str, box: str, page_width: float) -> DataFrame:
+    """(page, key, place): place of each line of a page in reading order. Lines with equal boxes go by key."""
+    from pyspark.sql.functions import arrow_udf
+    from pyspark.sql.types import ArrayType, IntegerType
+
+    @arrow_udf(ArrayType(IntegerType()))
+    def order(a: pa.Array) -> pa.Array:
+        out = [line_order([(b["x0"], b["y0"], b["x1"], b["y1"]) for b in x], page_width) for x in a.to_pylist()]
+        return pa.array(out, pa.list_(pa.int32()))
+
+    g = lines.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(box).alias("b")))).alias("l"))
+    o = g.select(*page, "l", order(F.col("l.b")).alias("o"))
+    return o.select(*page, "l", F.posexplode("o").alias("place", "i")).select(*page, F.get("l", F.col("i"))["k"].alias(key), "place")

@@ -472,3 +472,80 @@ def shared_characters(spark, sf):
 def line_words(spark, sf):
     d = table(spark, sf, "aligned_lines").where("transcription is not null").select("source_page", "line_index", t.words(F.col("transcription")).alias("w")).distinct()
     return d.select("source_page", "line_index", F.array_join("w", " ").alias("words"), F.size("w").alias("n"))
+
+
+@_query(f"""WITH w AS (SELECT id, image_width AS w, image_height AS h, CAST(length(n) + coalesce(list_sum(list_transform(list_zip(c, c[2:]), lambda p: CAST(p[1] = p[2] AS INT))), 0) AS INT) * 4 AS need FROM (SELECT DISTINCT id, image_width, image_height, n, regexp_extract_all(n, '(?s).') AS c FROM (SELECT id, image_width, image_height, {_NORM} AS n FROM mozhi_words)) WHERE n IS NOT NULL AND image_height > 0)
+SELECT id, CASE WHEN need <= 768 THEN CAST(least(768, greatest(4, ceil(greatest(32, round_even(w * 48 / h, 0), need) / 4.0) * 4)) AS INT) END AS canvas, CAST(floor(least(768, greatest(4, ceil(greatest(32, round_even(w * 48 / h, 0), need) / 4.0) * 4)) / 4) AS INT) AS steps FROM w""")
+def canvas_widths(spark, sf):
+    """Canvas of each word crop and how many steps a recogniser makes on it."""
+    d = table(spark, sf, "mozhi_words").select("id", "image_width", "image_height", t.normalize_label(F.col("text")).alias("n")).where("n is not null and image_height > 0").distinct()
+    d = d.withColumn("canvas", g.canvas_width(F.col("image_width"), F.col("image_height"), t.ctc_steps(F.col("n"))))
+    return d.select("id", "canvas", g.output_length(F.col("canvas")).alias("steps"))
+
+
+@_query("""WITH b AS (SELECT DISTINCT source_page, id, greatest(0.0, bbox.x0) AS x0, greatest(0.0, bbox.y0) AS y0, least(700.0, bbox.x1) AS x1, least(1200.0, bbox.y1) AS y1 FROM text_lines) SELECT source_page, id, x0, y0, x1, y1 FROM b WHERE x1 > x0 AND y1 > y0""")
+def clipped_boxes(spark, sf):
+    """Boxes within a page of 700 by 1200, those outside dropped."""
+    d = table(spark, sf, "text_lines").select("source_page", "id", g.clip_detection(F.col("bbox"), F.lit(700), F.lit(1200)).alias("b")).where("b is not null").distinct()
+    return d.select("source_page", "id", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+@_query("SELECT DISTINCT document, source_image_sha256 FROM page_audit WHERE document IN (SELECT source_document FROM aligned_lines WHERE alignment_score >= 0.68)")
+def attribution_list(spark, sf):
+    """Page images of the documents that an accepted line comes from."""
+    files = table(spark, sf, "page_audit").select(F.col("document").alias("source_document"), "source_image_sha256").distinct()
+    good = table(spark, sf, "aligned_lines").where("alignment_score >= cast(0.68 as float)")
+    return silver_lines.attributions(files, good).select(F.col("source_document").alias("document"), "source_image_sha256")
+
+
+@_query(f"SELECT split, document, n FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY substr(sha256('1337:' || document), 1, 16), document) AS r FROM (SELECT {_SPLIT} AS split, source_document AS document, count(DISTINCT id) AS n FROM aligned_lines GROUP BY 1, 2) WHERE n > 0) WHERE r <= 3")
+def accepted_documents(spark, sf):
+    """Of each split the first three documents by hash with an accepted line."""
+    d = table(spark, sf, "aligned_lines").groupBy(t.split_name(F.col("split")).alias("split"), F.col("source_document").alias("document")).agg(F.count_distinct("id").alias("n"))
+    return selection.accepted_documents(d, "split", [t.stable_order(F.col("document")), "document"], "n", 3)
+
+
+@_query()
+def polygon_order(spark, sf):
+    """Reading order of the detected lines of each page by their boxes."""
+    d = table(spark, sf, "detected_lines").where("source_page is not null and polygon is not null").select("source_page", "line_index", g.polygon_box(F.col("polygon")).alias("box")).distinct()
+    return layout.order_lines(d, ["source_page"], "line_index", "box", 1200.0)
+
+
+def _page_documents(spark, sf, text: str) -> DataFrame:
+    """Aligned lines as documents: a page for each page, a region for each line."""
+    d = table(spark, sf, "aligned_lines").where("source_page is not null").dropDuplicates(["source_page", "line_index"])
+    b = table(spark, sf, "detected_lines").dropDuplicates(["source_page", "line_index"]).select("source_page", "line_index", g.polygon_box(F.col("polygon")).alias("bbox"))
+    x = d.join(b, ["source_page", "line_index"])
+    line = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("order"))
+    region = F.struct(F.col("line_index").alias("order"), F.lit("text").alias("label"), "bbox", F.array(line).alias("lines"))
+    p = x.groupBy(F.col("source_document").alias("doc"), F.regexp_extract("source_page", r"(\d+)$", 1).cast("int").alias("number")).agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    return p.groupBy("doc").agg(F.collect_list(F.struct("number", "regions")).alias("pages"))
+
+
+@_query()
+def document_evaluation(spark, sf):
+    """Bootstrap predictions of every page evaluated against the transcriptions: layout, order and text."""
+    from bohagi.operators.evaluation import evaluate_documents
+
+    r = evaluate_documents(_page_documents(spark, sf, "transcription"), _page_documents(spark, sf, "prediction"))
+    return r["layout"].crossJoin(r["order"].select("concordant", "comparable", "accuracy")).crossJoin(r["ocr"].select("samples", "cer", "wer"))  # one row each
+
+
+@_query()
+def page_overlays(spark, sf):
+    """Mark-up of every scanned page with a transparent span for each line."""
+    d = table(spark, sf, "text_lines").where("source_page is not null").dropDuplicates(["source_page", "line_order"])
+    line = F.struct(F.col("line_order").alias("order"), "bbox", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    region = F.struct(F.lit("text").alias("label"), F.struct(*[F.lit(v).alias(k) for k, v in (("x0", 0.0), ("y0", 0.0), ("x1", 1000.0), ("y1", 1400.0))]).alias("bbox"), F.array_sort(F.collect_list(line)).alias("lines"))
+    p = d.groupBy("source_page", "page_number").agg(region.alias("r"))
+    page = F.struct(F.col("page_number").alias("number"), F.lit(1000).alias("width"), F.lit(1400).alias("height"), F.array("r").alias("regions"))
+    return p.select("source_page", writers.page_overlay(page, F.lit(b"")).alias("html"))
+
+
+@_query()
+def weighted_draw(spark, sf):
+    """How often each word crop comes in a draw of as many rows with replacement, hard characters twice as likely."""
+    d = table(spark, sf, "mozhi_words").select(F.lit("real").alias("source"), "id", "text").distinct()
+    w = selection.sampling_weights(d, "text", "source", {"real": 1.0}, _HARD, 2.0)
+    return selection.draw(w, "weight", d.count(), ["id", "text"], 7).select("id", "text", "copies")
