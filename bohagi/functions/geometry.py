@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from bohagi.schemas import LAYOUT_LABELS
 
-_ZERO = F.lit
-
 
 def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.cast("double").alias("x0"), y0.cast("double").alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"))
