@@ -290,6 +290,12 @@ def test_trie_against_brute_force(spark):
     v = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
     q = spark.createDataFrame([("abca",), (None,), ("abca",)], "query string")
     assert {(r["word"], r["edits"]) for r in trie.near_words(q, v, 1).collect()} == {(w, e) for w in words if (e := distance("abca", w)) <= 1}
+    asked = ["", "a", "b", "ab", "abc", "cabca", "x", "zz"] + words[::9]
+    got = sorted(tuple(r)[:3] for r in trie.near_words(spark.createDataFrame([(x,) for x in asked], "query string"), v, 1).collect())
+    assert got == sorted((x, w, e) for x in set(asked) - {""} for w in words if (e := distance(x, w)) <= 1)
+    marked = [x[:1] + "?" + x[1:] for x in words if len(x) > 1][:40]
+    got = sorted(tuple(r)[:3] for r in trie.near_words(spark.createDataFrame([(x,) for x in marked], "query string"), v, 2).collect())
+    assert got == sorted((x, w, e) for x in set(marked) for w in words if (e := distance(x, w)) <= 2)
     assert trie.near_words(q.limit(0), v, 1).count() == 0 == trie.near_words(q, v.limit(0), 1).count()
 
 
