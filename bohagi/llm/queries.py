@@ -107,7 +107,12 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    """Readable paragraphs of every page."""
+    """Readable paragraphs of every book, joined over its pages."""
+    return scans.book_paragraphs(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"), table(spark, sf, "corpus_lines"))
+
+
+def p6_page_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Readable paragraphs of every page by itself."""
     return scans.paragraphs(table(spark, sf, "detected_lines"), table(spark, sf, "aligned_lines"), table(spark, sf, "text_lines"), table(spark, sf, "corpus_lines"))
 
 
@@ -141,7 +146,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p6_paragraphs, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p6_paragraphs, p6_page_paragraphs, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
 
 #: White space as Python counts it, for DuckDB.
 _WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

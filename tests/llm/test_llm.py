@@ -361,6 +361,29 @@ def test_scans(spark):
     assert scans.noise(d.limit(0), a.limit(0), none).count() == 0 == scans.paragraphs(d.limit(0), a.limit(0), none).count()
 
 
+def test_paragraphs_go_on_over_pages(spark):
+    pages = {
+        1: ["কমল নদী পাৰত গছৰ তলত", "মানুহ আহি বহি গান গাই থাকে", "বতাহত ফুলৰ গোন্ধ ভাহি আহে আৰু"],
+        2: ["চৰাই মাতে।", "ডাৱৰ গৰজি বৰষুণ আহিল মাঘত পথা‐"],
+        3: ["ৰত। ধান চপাই ঘৰলৈ অনা হয় সোনকালে", "লৰাহঁতে উমলে।", "শীতৰ দিনত জুই পুৱাই থকা বুঢ়াবোৰ"],
+        4: ["   "],
+        5: ["গল্প কয়।", "হাটত বেপাৰী আহি দোকান মেলি বহিছে"],
+        7: ["আকাশত তৰা জিলিকি উঠিল সন্ধিয়া পৰত"],
+    }
+    stamp = F.timestamp_micros(F.lit(1_700_000_000_000_000))
+    rows = [("b.pdf", f"পৃষ্ঠা:b.pdf/{n}", i, t) for n, ls in pages.items() for i, t in enumerate(ls)]
+    d = spark.createDataFrame(rows, "source_document string, source_page string, line_index int, prediction string").withColumn("ingested_at", stamp)
+    a = spark.createDataFrame([r for r in rows if not r[1].endswith("/3")], "source_document string, source_page string, line_index int, transcription string")
+    none = spark.createDataFrame([], "document_id string, source_page string, line_order int, text string")
+    got = {(r["source_table"][0], r["source_page"][-1], r["paragraph"], r["last_page"][-1], r["text"]) for r in scans.book_paragraphs(d, a, none).collect()}
+    first, second = " ".join([*pages[1], pages[2][0]]), "ডাৱৰ গৰজি বৰষুণ আহিল মাঘত পথাৰত। ধান চপাই ঘৰলৈ অনা হয় সোনকালে লৰাহঁতে উমলে।"
+    want = {("1", 0, "2", first), ("2", 1, "3", second), ("3", 1, "5", f"{pages[3][2]} {pages[5][0]}"), ("5", 1, "5", pages[5][1]), ("7", 0, "7", pages[7][0])}
+    assert {x[1:] for x in got if x[0] == "d"} == want
+    # the transcription lacks page 3, so what is open before it ends there
+    assert {(x[1], x[3]) for x in got if x[0] == "a"} == {("1", "2"), ("2", "2"), ("5", "5"), ("7", "7")}
+    assert scans.book_paragraphs(d.limit(0), a.limit(0), none).count() == 0
+
+
 def test_misread_definition():
     assert scans.is_misread("ধDচি") and scans.is_misread("প0oিছত") and scans.is_misread("ধ​Dচি")
     for t in ("ক-খ", "ক’খ", "ক.খ", "ক/খ", "কD", "D খ", "ক D খ", "ৰ‍্য", "ক​খ", "১D২", ""):
