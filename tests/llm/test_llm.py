@@ -384,6 +384,19 @@ def test_paragraphs_go_on_over_pages(spark):
     assert scans.book_paragraphs(d.limit(0), a.limit(0), none).count() == 0
 
 
+def page_text(spark, lines, more):
+    """The text of one page of detected lines, with a vocabulary of other texts."""
+    rows = [("b.pdf", "পৃষ্ঠা:b.pdf/1", i, t) for i, t in enumerate(lines)]
+    d = spark.createDataFrame(rows, "source_document string, source_page string, line_index int, prediction string").withColumn("ingested_at", F.timestamp_micros(F.lit(1)))
+    a = spark.createDataFrame([], "source_document string, source_page string, line_index int, transcription string")
+    none = spark.createDataFrame([], "document_id string, source_page string, line_order int, text string")
+    return " ".join(r["text"] for r in scans.paragraphs(d, a, none, spark.createDataFrame([(t,) for t in more], "text string")).collect())
+
+
+def test_misread_after_the_rest_of_a_broken_word(spark):
+    assert page_text(spark, ["মাঘত পথা‐", "ৰত গছ#বোন আছে"], ["গছবোন"] * 3) == "মাঘত পথাৰত গছবোন আছে"
+
+
 def test_misread_definition():
     assert scans.is_misread("ধDচি") and scans.is_misread("প0oিছত") and scans.is_misread("ধ​Dচি")
     for t in ("ক-খ", "ক’খ", "ক.খ", "ক/খ", "কD", "D খ", "ক D খ", "ৰ‍্য", "ক​খ", "১D২", ""):
