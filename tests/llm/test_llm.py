@@ -397,6 +397,10 @@ def test_misread_after_the_rest_of_a_broken_word(spark):
     assert page_text(spark, ["মাঘত পথা‐", "ৰত গছ#বোন আছে"], ["গছবোন"] * 3) == "মাঘত পথাৰত গছবোন আছে"
 
 
+def test_rare_words_correct_misread_ones(spark):
+    assert page_text(spark, ["মাঘত গছ#বোন আছে"], ["গছবোন"]) == "মাঘত গছবোন আছে"
+
+
 def test_misread_definition():
     assert scans.is_misread("ধDচি") and scans.is_misread("প0oিছত") and scans.is_misread("ধ​Dচি")
     for t in ("ক-খ", "ক’খ", "ক.খ", "ক/খ", "কD", "D খ", "ক D খ", "ৰ‍্য", "ক​খ", "১D২", ""):
