@@ -67,8 +67,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     """How many evaluation records lie in train, by split and source."""
     w, c = table(spark, sf, "mozhi_words"), table(spark, sf, "corpus_lines")
-    a = split_overlap.overlap_report(split_overlap.image_overlap(w), w, "id", "split", "source_config")
-    b = split_overlap.overlap_report(split_overlap.text_overlap(c), c, "id", "split", "source_title")
+    a = split_overlap.overlap_report(split_overlap.overlapping_images(w), w, "id", "split", "source_config")
+    b = split_overlap.overlap_report(split_overlap.overlapping_texts(c), c, "id", "split", "source_title")
     return a.select(F.lit("image").alias("kind"), "split", "source", "records").unionByName(b.select(F.lit("text").alias("kind"), "split", "source", "records"))
 
 

@@ -225,7 +225,7 @@ def distance(a, b):
     return p[-1]
 
 
-def test_split_overlap_against_brute_force(spark):
+def test_split_overlap_against_brute_force(spark, monkeypatch):
     rnd = random.Random(6)
     words = made_up(rnd, 30)
     rows = []
@@ -249,14 +249,37 @@ def test_split_overlap_against_brute_force(spark):
     want = {tuple(sorted((a[0], b[0]))) for a in recs for b in recs if a[2] == "train" != b[2] and a[0] != b[0] and abs(len(a[1]) - len(b[1])) <= max(len(a[1]), len(b[1])) // 10 and (a[1] == b[1] or distance(a[1], b[1]) <= max(len(a[1]), len(b[1])) // 10)}
     got = [tuple(r) for r in split_overlap.text_overlap(d).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 250
-    assert sorted(map(tuple, split_overlap.text_overlap(d, fill=-1).collect())) == sorted(want)
-    assert split_overlap.text_overlap(d.limit(0)).count() == 0 == split_overlap.text_overlap(d.limit(0), fill=-1).count()
+    held = {i for i, _, s in recs if s != "train"}
+    assert {r["id"] for r in split_overlap.overlapping_texts(d).collect()} == {x for p in want for x in p} & held
+    assert split_overlap.text_overlap(d.limit(0)).count() == 0
+    # salts, a bitmap that is full and hashes that collide change nothing
+    monkeypatch.setattr(split_overlap, "HOT_ROWS", 3)
+    monkeypatch.setattr(split_overlap, "BITMAPS", (64, 64))
+    assert sorted(map(tuple, split_overlap.text_overlap(d).collect())) == sorted(want)
+
+
+def test_weighted_vectors_keep_every_match():
+    rnd = random.Random(12)
+    freq = np.array([rnd.choice((0, 0, 3, 900, 60_000)) for _ in range(split_overlap.TABLE // 64)] * 64, np.uint16)
+    dropped = 0
+    for _ in range(300):
+        x = [rnd.choice("abcd ") for _ in range(rnd.randint(30, 90))]
+        y = list(x)
+        for _ in range(rnd.randint(0, len(x) // 10)):
+            k = rnd.randrange(len(y))
+            y[k : k + 1] = rnd.choice(([], ["z"], [y[k], "z"]))
+        a, b = "".join(x), "".join(y)
+        if distance(a, b) <= max(len(a), len(b)) // 10:
+            assert split_overlap.may_match(split_overlap.Vector(a, freq), split_overlap.Vector(b, freq))
+        c = "".join(rnd.sample(x, len(x)))
+        dropped += not split_overlap.may_match(split_overlap.Vector(a, freq), split_overlap.Vector(c, freq))
+    assert dropped > 250
 
 
 def test_image_overlap(spark):
     d = spark.createDataFrame([("1", "AB", "train"), ("2", "ab", "Test "), ("3", None, "test"), ("4", "ab", None), ("2", "ab", "Test "), ("5", "", "train"), ("6", "", "test")], "id string, image_sha256 string, split string")
     assert [tuple(r) for r in split_overlap.image_overlap(d).collect()] == [("1", "2")]
-    assert [tuple(r) for r in split_overlap.overlap_report(split_overlap.image_overlap(d), d.withColumn("s", F.lit(None).cast("string")), "id", "split", "s").collect()] == [("test", None, 1)]
+    assert [tuple(r) for r in split_overlap.overlap_report(split_overlap.overlapping_images(d), d.withColumn("s", F.lit(None).cast("string")), "id", "split", "s").collect()] == [("test", None, 1)]
 
 
 @pytest.mark.parametrize("shape", ["long tail", "all short", "all long", "third alike"])
