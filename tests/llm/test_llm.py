@@ -345,6 +345,21 @@ def test_quality(spark):
     assert quality.text_statistics(d.limit(0)).count() == 0
 
 
+def test_every_layout_signal_decides(spark):
+    table = "নাম   মূল্য  বছৰ\nকলম   12    1990\nকিতাপ  7     2001\nঘৰ    150   1985"
+    listed = "কলম কিনা\nদোকানৰ পৰা কিতাপ অনা\nঘৰ\nগছৰ তলত পাত গোটোৱা\nনদী"
+    marked = "- আজি ৰাতিপুৱা সোনকালে উঠি নদীৰ পাৰলৈ গৈ গা ধুই আহিব লাগে।\n- দোকানৰ পৰা চাউল, দাইল আৰু তেল কিনি আনিব লাগে।\n- গধূলি চোতাল সাৰি চাকি জ্বলাব লাগে।"
+    wrapped = "\n".join(["আৰু এই কথা সকলোৱে জানে", "যে মানুহ ভাল হ'ব পাৰে।", "তেওঁ পিছত কৈছিল নাই বুলি", "কিন্তু কোনো কথা শুনা নগ'ল।"])
+    facts = lambda t: dict(zip(quality.NAMES, quality.statistics(t)))
+    off = lambda t, f: quality.kind_of({**facts(t), f: 0.0})
+    assert [quality.kind_of(facts(t)) for t in (table, listed, marked, wrapped)] == ["table", "list", "list", "prose"]
+    assert off(table, "aligned_lines") != "table" != off(table, "length_autocorrelation")
+    assert off(listed, "begin_period") == off(marked, "begin_period") == "prose"
+    # columns, not counts: as many delimiters a line, but nowhere the same place or number
+    assert quality.alignment(["a;b;c", "aa;b;c", "a;bbb;c"]) == (1.0, ";") and quality.alignment(["ab  c", "a  bcd", "abcd  e  f", "xy z"])[0] < 0.7
+    assert quality.period(["a", "- b", "a.", "- b", "x.", "- c"]) == 0.5 and quality.length_regularity([10, 40, 10, 40, 10, 40]) > 0.99 > 0.9 > quality.length_regularity([5, 40, 11, 70, 9, 33])
+
+
 def book(rnd):
     """Pages of a made-up book: (page, line, text) and the kinds that must be found."""
     words = made_up(rnd, 50)
