@@ -1,12 +1,14 @@
 """Problem 4: one form for texts that look the same but are stored with differing characters.
 
-The form is made in this order: full-width forms become plain ones; characters that show nothing are
-dropped, but for joiners that change a conjunct's shape; NFC; letters written as two signs that look
-like one become that one; marks for the full stop become one; then, token by token, the sets of
-scripts each letter may belong to are intersected. An empty intersection is a mixed token: the
-script in which all its letters can be written is chosen and the others' look-alikes are respelt.
-A token of one foreign script whose letters all have look-alikes in a script of the collection is a
-whole-script look-alike and is respelt too. Last, white space of any kind becomes one blank.
+The form is made in this order: full-width forms, mathematical letters and letters for numerals become plain ones;
+characters that show nothing are dropped, but for joiners that change a conjunct's shape; NFC; letters written as
+two signs that look like one become that one; marks for the full stop become one; then each token is resolved:
+the script sets of its letters (their script extensions, augmented by the writing systems that mix scripts) are
+intersected. Where nothing is left the token is mixed: of the scripts of the collection that all of it can be
+written in, the one with most of its own letters is chosen and the others' look-alikes are respelt, into either script. A token
+of one foreign script whose letters all have look-alikes in a script of the collection is a whole-script
+look-alike and is respelt too. Letters with a twin in their own script become the usual one. Last, white space of
+any kind becomes one blank.
 """
 
 from __future__ import annotations
@@ -16,34 +18,60 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bohagi.llm.words import map_batches
+from bohagi.session import materialize
 
-#: Letters of other scripts and the Latin letter that looks the same.
-LATIN_LOOK = {
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "ԝ": "w", "х": "x",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "υ": "u", "χ": "x", "γ": "y",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+# Letters and the Latin letter that looks the same, by script.
+CYRILLIC = {
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y", "Ү": "Y",
 }
+GREEK = {
+    "α": "a", "γ": "y", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j",
+    "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+}
+ARMENIAN = {"ց": "g", "հ": "h", "ո": "n", "օ": "o", "զ": "q", "ս": "u", "Լ": "L", "Օ": "O", "Տ": "S", "Ս": "U"}
+CHEROKEE = {"Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮍ": "Y", "Ꮓ": "Z"}
+COPTIC = {"ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "Ⲩ": "Y"}
+LISU = {
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V",
+    "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+}
+#: Letters of the Latin script that look like its usual ones.
+LATIN_TWINS = {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ʋ": "u", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s"}
+#: Devanagari letters and signs and the one of the block that looks the same.
+DEVANAGARI = {"घ": "ঘ", "ण": "ণ", "थ": "থ", "न": "ন", "म": "ম", "ल": "ল", "ँ": "ঁ", "ः": "ঃ", "ा": "া", "ि": "ি", "ी": "ী", "्": "্", "़": "়", "०": "০"}
+#: What letters look like in each script of the collection.
+LOOK = {"Beng": DEVANAGARI, "Latn": CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC | LISU | LATIN_TWINS}
+#: Scripts the collection is written in, the first preferred.
+SCRIPTS = ("Beng", "Latn")
+#: Scripts by their codes; for letters of others the first word of their name stands for one.
+CODES = "Latn Beng Deva Cyrl Grek Armn Cher Copt Lisu Arab Hebr Hani Hira Kana Bopo Hang Thai Laoo Tibt Guru Gujr Orya Taml Telu Knda Mlym Sinh Mymr Khmr Geor Ethi Mong Cans Syrc Thaa Olck Mtei Cakm Newa Sylo Tirh".split()
+#: What a script set is augmented by: writing systems that mix scripts.
+AUGMENTED = {"Hani": {"Hanb", "Jpan", "Kore"}, "Hira": {"Jpan"}, "Kana": {"Jpan"}, "Bopo": {"Hanb"}, "Hang": {"Kore"}}
 #: Signs of the block that are written in two ways which NFC keeps apart.
 SEQUENCES = {"\u0985\u09be": "\u0986"}
 #: Marks that look the same as another one.
 MARKS = {"৷": "।", "|": "।", "ǀ": "।", "∣": "।", "॥": "।।", "‐": "-", "‑": "-"}
 #: Characters without a glyph that Unicode counts as letters or marks.
 BLANK_LETTERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0"
-#: Scripts the collection is written in, the first preferred.
-SCRIPTS = ("BENGALI", "LATIN")
-
 _KEEP_J, _KEEP_N = "\ue000", "\ue001"
 _JOIN = re.compile("(?<=[\u0995-\u09b9\u09dc-\u09df\u09f0\u09f1])\u200d(?=\u09cd)|(?<=\u09cd)\u200d(?=[\u0985-\u09b9\u09dc-\u09df\u09f0\u09f1])")
 _NON_JOIN = re.compile("(?<=\u09cd)\u200c(?=[\u0985-\u09b9\u09dc-\u09df\u09f0\u09f1])")
 _SEQ = re.compile("|".join(SEQUENCES))
 #: Anything but Latin, the block and common marks: such tokens are looked at letter by letter.
-_STRANGE = re.compile("[^\\s\u0000-\u024f\u0300-\u036f\u0964\u0965\u0980-\u09ff\u2010-\u206f\ue000\ue001]")
+_STRANGE = re.compile("[\u0131\u0237]|[^\\s\u0000-\u024f\u0300-\u036f\u0964\u0965\u0980-\u09ff\u2010-\u206f\ue000\ue001]")
+
+
+def _is_styled(c: str) -> bool:
+    """Whether it is a letter or digit in another typeface, a numeral made of letters, or letters set as one."""
+    tag = unicodedata.decomposition(c).split(" ")[0]
+    return tag in ("<font>", "<wide>", "<narrow>") or tag == "<compat>" and ("ROMAN NUMERAL" in (name := unicodedata.name(c, "")) or "LIGATURE" in name or "DIGRAPH" in name) and unicodedata.normalize("NFKC", c).isascii()
 
 
 class _Chars(dict):
@@ -58,7 +86,7 @@ class _Chars(dict):
             r = MARKS[c]
         elif kind in ("Cf", "Cc") or c in BLANK_LETTERS or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
             r = None
-        elif 0xFF01 <= cp <= 0xFFEE or 0xFB00 <= cp <= 0xFB06:
+        elif 0xFF01 <= cp <= 0xFFEE or _is_styled(c):
             r = "".join(MARKS.get(x, x) for x in unicodedata.normalize("NFKC", c))
         else:
             r = c
@@ -69,44 +97,52 @@ class _Chars(dict):
 _chars = _Chars()
 
 
+_SCX = [(code, regex.compile(rf"\p{{scx={code}}}")) for code in CODES]
+_SHARED = regex.compile(r"[\p{scx=Common}\p{scx=Inherited}]")
+
+
 @lru_cache(maxsize=20_000)
 def script_set(c: str) -> frozenset[str] | None:
-    """Scripts a character may belong to; None for one that any script uses."""
-    if unicodedata.category(c)[0] != "L" and not 0x980 <= ord(c) <= 0x9FF:
+    """Scripts a character may belong to, augmented; None for one that any script uses."""
+    if _SHARED.match(c):
         return None
-    name = unicodedata.name(c, "")
-    return frozenset({name.split(" ")[0]}) if name else None
+    own = {code for code, p in _SCX if p.match(c)}
+    if not own:
+        name = unicodedata.name(c, "")
+        return frozenset({name.split(" ")[0]}) if name else None
+    return frozenset(own.union(*(AUGMENTED.get(x, ()) for x in own)))
 
 
 @lru_cache(maxsize=200_000)
 def resolve_token(token: str) -> str:
-    """The token in the script that all its letters can be written in; as it is where there is none,
-    but for letters that look like a Latin one."""
-    sets = [s for c in token if (s := script_set(c)) is not None]
-    if not sets:
-        return token
-    common = frozenset.intersection(*sets)
-    if common and any(s in common for s in SCRIPTS):
+    """The token in the script that all its letters can be written in; as it is where there is none, but for letters
+    that look like a Latin one."""
+    sets = [(c, script_set(c)) for c in token]
+    known = [s for _, s in sets if s is not None]
+    if not known:
         return token
+    common = frozenset.intersection(*known)
+    if not common.isdisjoint(SCRIPTS):
+        return "".join(LATIN_TWINS.get(c, c) for c in token) if "Latn" in common else token
 
     def written(script: str) -> str | None:
         out = []
-        for c in token:
-            s = script_set(c)
-            if s is None or script in s:
+        for c, s in sets:
+            if c in LOOK[script]:
+                out.append(LOOK[script][c])
+            elif s is None or script in s:
                 out.append(c)
-            elif script == "LATIN" and c in LATIN_LOOK:
-                out.append(LATIN_LOOK[c])
             else:
                 return None
         return "".join(out)
 
-    for script in SCRIPTS:  # whole-script look-alikes and mixed tokens with one consistent script
+    # whole-script look-alikes and mixed tokens with one consistent script
+    for script in sorted(SCRIPTS, key=lambda x: -sum(x in s for s in known)):
         if (w := written(script)) is not None:
             return w
     if common:
         return token  # another script, not to be mistaken
-    return "".join(LATIN_LOOK.get(c, c) for c in token)
+    return "".join(LOOK["Latn"].get(c, c) for c in token)
 
 
 #: Texts of these characters alone, if composed, are in their form but for blanks.
@@ -164,12 +200,15 @@ def same_looking(df: DataFrame, key: str = "id", text: str = "text", least: int
     characters differ in more than the number of plain blanks. Null keys and texts are no case,
     repeated rows one record, a key is never paired with itself, an empty table gives no rows.
 
-    Only 128-bit hashes of the form and 64-bit hashes of the text are shuffled. A form that is written
-    in one way only (however many rows have it) is left out by a map-side aggregated minimum and
-    maximum before rows meet."""
-    rows = _keys(df, key, text, least)
+    Hashes of 128 bits of the form and 64 of the text are all that is kept of a row. A form that is written in one
+    way only (however many rows have it) is left out by a map-side aggregated minimum and maximum. Ways of
+    writing a form meet, not its rows; rows are joined to the pairs of ways last, so copies of one way never
+    meet each other."""
+    rows = materialize(_keys(df, key, text, least), "forms")
     two = rows.groupBy("form").agg(F.min("plain").alias("lo"), F.max("plain").alias("hi")).where("lo <> hi").select("form")
-    near = rows.join(two, "form", "left_semi").distinct()
-    a = near.select("form", F.col("id").alias("id_a"), F.col("plain").alias("pa"))
-    b = near.select("form", F.col("id").alias("id_b"), F.col("plain").alias("pb"))
-    return a.join(b, "form").where("pa <> pb and id_a < id_b").select("id_a", "id_b").distinct()
+    near = materialize(rows.join(two, "form", "left_semi").distinct(), "near")
+    ways = near.select("form", "plain").distinct()
+    pairs = ways.withColumnRenamed("plain", "pa").join(ways.withColumnRenamed("plain", "pb"), "form").where("pa < pb")
+    a, b = near.select("form", F.col("plain").alias("pa"), F.col("id").alias("x")), near.select("form", F.col("plain").alias("pb"), F.col("id").alias("y"))
+    found = pairs.join(a, ["form", "pa"]).join(b, ["form", "pb"]).where("x <> y")
+    return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

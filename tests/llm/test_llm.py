@@ -158,9 +158,10 @@ def test_plan_of_sizes_is_the_greedy_one():
 
 def test_look_alikes(spark):
     same = [("wеа", "wea"), ("сара", "capa"), ("অা​ম", "আম"), ("a b", "a b"), ("কে​া", "কো"), ("１２３，", "123,"), ("শেষ৷", "শেষ|"), ("ড়", "ড়"), ("é", "é"), ("ক­⁠খ", "কখ"), ("ﬁn", "fin"), ("ৎ", "ত্‍")]
+    same += [("ɡood", "good"), ("кino", "kino"), ("κai", "kai"), ("оօn", "oon"), ("ıt", "it"), ("Ꭺbc", "Abc"), ("𝐚bc𝐝", "abcd"), ("Ⅳ", "IV"), ("মनা", "মনা"), ("नাम", "নাম"), ("मन", "মন"), ("ꓐꓳꓫ", "BOX"), ("ⲟⲣ", "op"), ("ｶ", "カ")]
     for a, b in same:
         assert lookalikes.canonical(a) == lookalikes.canonical(b), (a, b)
-    other = [("ৰ‍্য", "ৰ্য"), ("a b", "ab"), ("১০", "10"), ("ব", "ৰ"), ("жа", "жa"), ("ক্‌ষ", "ক্ষ"), ("é", "e"), ("²", "2")]
+    other = [("ৰ‍্য", "ৰ্য"), ("a b", "ab"), ("১০", "10"), ("ব", "ৰ"), ("жа", "жa"), ("ক্‌ষ", "ক্ষ"), ("é", "e"), ("²", "2"), ("भाषा", "ভাষা"), ("日本ゴ", "日本ㄅ"), ("ς", "s"), ("ß", "B"), ("ſ", "f")]
     for a, b in other:
         assert lookalikes.canonical(a) != lookalikes.canonical(b), (a, b)
     assert lookalikes.canonical("") == "" == lookalikes.canonical("​ ﻿") and len(lookalikes.canonical("ক" * 100_000)) == 100_000
