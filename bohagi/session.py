@@ -46,27 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def clear() -> None:
+    """Removes every table and folder written so far by materialize and scratch. A long session calls it once the
+    results of its queries have been read; when Python exits it runs by itself."""
+    while _written:
+        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the session is over; the folder's owner removes the rest
             pass
 
 
-atexit.register(_remove_written)
+atexit.register(clear)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with the tables."""
+    path = f"{shared_dir(spark)}/bohagi/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and a
     lost executor costs only the tasks that read it. Columns keep their names and types."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/bohagi/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
