@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bohagi.llm import encoding, grouped_splits, leakage, lookalikes, near_duplicates, packing, quality, scans, split_overlap, term_counts
-from bohagi.session import shared_dir, table
+from bohagi.session import scratch, table
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/bohagi/{name}-{uuid.uuid4().hex}"
+#: The tables come in two deliveries, before and since; rows without a time are in the second.
+DELIVERED = "coalesce(ingested_at < timestamp'2023-01-01', false)"
 
 
 def _counts(spark: SparkSession, sf: str) -> dict[str, term_counts.TermCounts]:
     out = {}
     for collection, name, unit in (("characters", "corpus_lines", "characters"), ("words", "documents", "words")):
-        c = term_counts.TermCounts(spark, _fresh(spark, "terms"), unit)
-        c.apply(term_counts.added(table(spark, sf, name), "text"))
+        c = term_counts.TermCounts(spark, scratch(spark, "terms"), unit)
+        c.apply(term_counts.added(table(spark, sf, name).where(DELIVERED), "text"))
+        c.apply(term_counts.added(table(spark, sf, name).where(f"not {DELIVERED}"), "text"))
         out[collection] = c
     return out
 
@@ -40,8 +39,8 @@ def p1_after_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Word counts of documents after they came in two deliveries: first those ingested before 2023 with
     every lang in lower case, then the rest and the corrections. Equals the counts of the whole table."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "ingested_at")
-    early = docs.where("ingested_at < timestamp'2023-01-01'").withColumn("text", F.lower("text"))
-    c = term_counts.TermCounts(spark, _fresh(spark, "terms"), "words")
+    early = docs.where(DELIVERED).withColumn("text", F.lower("text"))
+    c = term_counts.TermCounts(spark, scratch(spark, "terms"), "words")
     c.apply(term_counts.added(early, "text"))
     c.apply(term_counts.changes_between(early, docs, "doc_id", "text"))
     return c.counts()

@@ -1,10 +1,14 @@
 """Problem 1: how often every term occurs and in how many records, kept up to date by signed deltas.
 
-State is a set of counts in buckets by term. A change is a row (old_text, new_text): null old text
-is an added record, null new text a deleted one. Each task sums the signed counts of its rows in
-a bounded table before anything is shuffled; the summed delta is merged with the buckets it
-touches, which are written anew while the others stay as they are. A small manifest names the
-generation of each bucket and is replaced last, so a job that breaks off changes nothing.
+A change is a row (old_text, new_text): null old text is an added record, null new text a deleted one. Each task sums
+the signed counts of its rows in a bounded table before anything is shuffled. The summed delta is kept as a run,
+partitioned by term; the state is a list of runs, and a term's counts are the sums over them. A run is merged with the
+one before it as soon as that is less than RATIO times as large, so there are never more than a logarithm of
+runs, an update writes little more than itself, and a term is rewritten a logarithm of times at most.
+
+A manifest names the runs. Each has a number of its own and none is ever changed or replaced: the one
+of the highest number is the state, so a job that breaks off anywhere leaves the state before it or the one after.
+Runs that neither of the last two manifests names are removed.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from bohagi.llm.words import normal
 
 #: Distinct terms a task holds before it hands them on; memory only.
 FLUSH = 200_000
+#: How much larger than the next a run is left alone; terms of a partition.
+RATIO, PARTITION = 4, 1_000_000
 SCHEMA = "term string, occurrences long, records long"
 
 
@@ -87,63 +93,89 @@ def changes_between(old: DataFrame, new: DataFrame, key: str, text: str) -> Data
 class TermCounts:
     """Counts of one collection under path, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, unit: str = "words", buckets: int = 32) -> None:
-        self.spark, self.path, self.unit, self.buckets = spark, path.rstrip("/"), unit, buckets
-        jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(self._conf)
-        self._jvm = jvm
-        self.state = self._read_manifest()
-
-    def _read_manifest(self) -> dict:
-        p = self._p(f"{self.path}/manifest.json")
-        if not self._fs.exists(p):
-            return {"generation": 0, "buckets": {}, "records": 0, "n": self.buckets}
-        s = self._fs.open(p)
+    def __init__(self, spark: SparkSession, path: str, unit: str = "words") -> None:
+        self.spark, self.path, self.unit = spark, path.rstrip("/"), unit
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.state = self._last_manifest()
+
+    def _p(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _names(self) -> list[str]:
+        return [f.getPath().getName() for f in self._fs.listStatus(self._p(self.path))] if self._fs.exists(self._p(self.path)) else []
+
+    def _manifests(self) -> list[str]:
+        """Their names, the last one first."""
+        return sorted((n for n in self._names() if n.startswith("manifest-") and n.endswith(".json")), reverse=True)
+
+    def _read_manifest(self, name: str) -> dict:
+        s = self._fs.open(self._p(f"{self.path}/{name}"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(s, "UTF-8"))
         finally:
             s.close()
 
+    def _last_manifest(self) -> dict:
+        names = self._manifests()
+        return self._read_manifest(names[0]) if names else {"generation": 0, "records": 0, "runs": []}
+
     def _write_manifest(self, state: dict) -> None:
-        new, p = self._p(f"{self.path}/manifest.json.new"), self._p(f"{self.path}/manifest.json")
-        s = self._fs.create(new, True)
+        name = f"{self.path}/manifest-{state['generation']:012d}.json"
+        s = self._fs.create(self._p(name + ".new"), True)
         s.write(bytearray(json.dumps(state).encode()))
         s.close()
-        self._fs.delete(p, False)
-        self._fs.rename(new, p)
+        if self._fs.exists(self._p(name)) or not self._fs.rename(self._p(name + ".new"), self._p(name)):
+            raise OSError(f"{name} is there already: another job has changed these counts")
         self.state = state
 
-    def _read(self, buckets: list[int]) -> DataFrame:
-        paths = [f"{self.path}/g{g}/bucket={b}" for b in buckets if (g := self.state["buckets"].get(str(b))) is not None]
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*paths)
+    def _clean(self) -> None:
+        """Removes manifests but the last two, and runs that neither names."""
+        names = self._manifests()
+        keep = set(names[:2]) | {r["name"] for n in names[:2] for r in self._read_manifest(n)["runs"]}
+        for n in self._names():
+            if n not in keep:
+                self._fs.delete(self._p(f"{self.path}/{n}"), True)
+
+    def _write_run(self, rows: DataFrame, name: str, terms: int) -> None:
+        """Writes (term, occurrences, records) by partitions of the term's hash; the row of no term apart."""
+        n = max(1, -(-terms // PARTITION))
+        part = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(n)))
+        rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").option("compression", "zstd").parquet(f"{self.path}/{name}")
+
+    def _read_run(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMA + ", part int").parquet(f"{self.path}/{name}")
+
+    def _sum(self, names: list[str]) -> DataFrame:
+        rows = [self._read_run(n).where("part >= 0").select("term", "occurrences", "records") for n in names]
+        if len(rows) < 2:
+            return rows[0] if rows else self.spark.createDataFrame([], SCHEMA)
+        every = rows[0]
+        for r in rows[1:]:
+            every = every.unionByName(r)
+        return every.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences <> 0 or records <> 0")
 
     def apply(self, changes: DataFrame) -> None:
-        """Merges the changes (old_text, new_text). Null on both sides and equal texts change nothing."""
-        g, n = self.state["generation"] + 1, self.state["n"]
-        where = f"{self.path}/d{g}"
-        signed_counts(changes, self.unit).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(n)))).write.mode("overwrite").parquet(where)
-        delta = self.spark.read.schema(SCHEMA + ", bucket long").parquet(where)
-        touched = {r[0]: r[1] for r in delta.groupBy("bucket").agg(F.sum("records")).collect()}
-        records = self.state["records"] + touched.pop(-1, 0)
-        if touched:
-            old = self._read(sorted(touched))
-            base = delta.where("bucket >= 0")
-            if self.state["buckets"]:
-                old = old.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(n)))
-                base = base.unionByName(old).groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences <> 0 or records <> 0")
-            base.select("term", "occurrences", "records", "bucket").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/g{g}")
-        held = dict(self.state["buckets"])
-        for b in touched:
-            if self._fs.exists(self._p(f"{self.path}/g{g}/bucket={b}")):
-                held[str(b)] = g
-            else:
-                held.pop(str(b), None)
-        self._write_manifest({"generation": g, "buckets": held, "records": records, "n": n})
-        self._fs.delete(self._p(where), True)
+        """Adds the changes (old_text, new_text). Null on both sides and equal texts change nothing."""
+        g = self.state["generation"] + 1
+        name = f"run-{g:012d}"
+        self._write_run(signed_counts(changes, self.unit), name, sum(r["terms"] for r in self.state["runs"]))
+        facts = {r[0]: (r[1], r[2]) for r in self._read_run(name).groupBy((F.col("part") < 0).alias("none")).agg(F.count("*"), F.sum("records")).collect()}
+        runs, records = list(self.state["runs"]), self.state["records"] + facts.get(True, (0, 0))[1]
+        if facts.get(False, (0, 0))[0]:
+            runs.append({"name": name, "terms": facts[False][0]})
+        first = len(runs)
+        size = 0
+        while first > 0 and (size == 0 or runs[first - 1]["terms"] < RATIO * size):
+            first -= 1
+            size += runs[first]["terms"]
+        if len(runs) - first > 1:
+            merged = f"{name}-merged"
+            self._write_run(self._sum([r["name"] for r in runs[first:]]), merged, size)
+            terms = self._read_run(merged).count()
+            runs[first:] = [{"name": merged, "terms": terms}] if terms else []
+        self._write_manifest({"generation": g, "records": records, "runs": runs})
+        self._clean()
 
     @property
     def records(self) -> int:
@@ -151,7 +183,7 @@ class TermCounts:
 
     def counts(self) -> DataFrame:
         """(term, occurrences, records) of every term that occurs."""
-        return self._read(list(range(self.state["n"])))
+        return self._sum([r["name"] for r in self.state["runs"]])
 
     def marked(self, rare_below: int = 3, common_above: float = 0.5) -> DataFrame:
         """(term, occurrences, records, mark): terms in fewer records than rare_below and in more than
