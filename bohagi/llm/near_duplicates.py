@@ -2,12 +2,15 @@
 
 1. Every document becomes its set of 64-bit hashes of runs of k words. Rows (hash, document, size)
    are shuffled by hash once; only hashes of two or more documents are kept, with their frequency.
-   Hashes that a sample shows in very many documents skip that count, so none fills one task.
+   Hashes that by a sample have more than HOT_ROWS rows keep the sample's estimate as their frequency and
+   are spread by document, so none fills one task however large the collection.
 2. Documents too few of whose hashes are shared can be in no pair and are gone. Documents of the
    same set are represented by one.
 3. Each document goes to the tile of every hash in the rarest-first prefix that a partner must hit,
    and of its size band and the next. In a tile, sizes and bitmap signatures bound the overlap from
-   above: |A n B| <= (|A| + |B| - bits(A xor B)) / 2. What passes is a candidate pair, once.
+   above: |A n B| <= (|A| + |B| - bits(A xor B)) / 2. What passes is a candidate pair, once. A tile of
+   more than TILE documents is a grid: one side is dealt to its rows, the other to its columns, and
+   each pair of documents meets in one cell.
 4. Candidates are decided by exact intersection of the sorted hash arrays.
 """
 
@@ -23,10 +26,12 @@ from bohagi.llm.union_find import components
 from bohagi.llm.words import HashCache, map_batches, pieces, windows, words
 from bohagi.session import materialize
 
-#: Documents looked at to find hashes that very many share, and the share that makes one hot. Which
-#: hashes are hot changes the order of work only, never the result.
-HOT_SAMPLE, HOT_SHARE = 2_000, 0.02
-_FREQUENT = 2_000_000_000
+#: Documents looked at to find hashes that very many share, least number of them that must have a hash for the
+#: estimate to count, and rows above which a hash is hot. Which are hot changes the order of work only, never
+#: the result.
+HOT_SAMPLE, HOT_SEEN, HOT_ROWS = 20_000, 5, 100_000
+#: Documents of a tile, or of a side of a cell of its grid.
+TILE = 20_000
 _hashes = HashCache()
 
 
@@ -40,35 +45,43 @@ def shingles(text: str | None, k: int, least_words: int) -> np.ndarray:
     return np.unique(windows(_hashes.array(ws), k)).view(np.int64)
 
 
-def _tokens(df: DataFrame, key: str, text: str, k: int, least: int, hot: np.ndarray) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(np.sort(hot))
+def _tokens(df: DataFrame, key: str, text: str, k: int, least: int, hot: dict[int, int]) -> DataFrame:
+    """(h, hot, doc, n): hot is how many rows the hash has by the sample, 0 if it is not hot."""
+    names = np.array(sorted(hot), np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((names, np.array([hot[x] for x in names.tolist()], np.int64)))
 
     def run(b: pa.RecordBatch):
-        hot = shared.value
+        names, rows = shared.value
         for p in pieces(b, 512):
             sets = [shingles(t, k, least) for t in p.column(1).to_pylist()]
             n = np.array([len(s) for s in sets], np.int32)
             h = np.concatenate(sets)
             d = np.repeat(p.column(0).to_numpy(zero_copy_only=False), n)
-            salt = np.zeros(len(h), np.int8)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                salt = np.where(hot[at] == h, 1 + (d % 100).astype(np.int8), 0).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(d.astype(np.int64)), pa.array(np.repeat(n, n))], ["h", "salt", "doc", "n"])
+            much = np.zeros(len(h), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                much = np.where(names[at] == h, rows[at], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(much), pa.array(d.astype(np.int64)), pa.array(np.repeat(n, n))], ["h", "hot", "doc", "n"])
 
-    return map_batches(df, run, "h long, salt byte, doc long, n int")
+    return map_batches(df, run, "h long, hot long, doc long, n int")
 
 
-def _hot_hashes(df: DataFrame, text: str, k: int, least: int, rows: int) -> np.ndarray:
-    part = df.sample(min(1.0, HOT_SAMPLE / max(rows, 1)), seed=7).select(text)
+def _hot_hashes(df: DataFrame, text: str, k: int, least: int, rows: int) -> dict[int, int]:
+    """hash -> estimated rows, of hashes that more than HOT_ROWS rows have. There are at most as many as the sample has
+    runs, divided by HOT_SEEN."""
+    scale = max(1.0, rows / HOT_SAMPLE)
+    wanted = max(HOT_SEEN, int(HOT_ROWS / scale))
+    if wanted > min(rows, 2 * HOT_SAMPLE):
+        return {}
+    part = df.sample(min(1.0, 1 / scale), seed=7).select(text)
 
     def run(b: pa.RecordBatch):
-        sets = [shingles(t, k, least) for t in b.column(0).to_pylist()]
-        u, c = np.unique(np.concatenate(sets), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(u[c > 1]), pa.array(c[c > 1])], ["h", "c"])
+        for p in pieces(b, 4_000):
+            u, c = np.unique(np.concatenate([shingles(t, k, least) for t in p.column(0).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u[c > 1]), pa.array(c[c > 1])], ["h", "c"])
 
-    seen = map_batches(part, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > HOT_SHARE * min(rows, HOT_SAMPLE))
-    return np.array([r[0] for r in seen.select("h").collect()], np.int64)
+    seen = map_batches(part, run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= wanted)
+    return {r[0]: int(r[1] * scale) for r in seen.select("h", "c").collect()}
 
 
 def _bitmap(word: int):
@@ -88,8 +101,9 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = docs.count()
     tokens = _tokens(docs, "doc", "text", k, least_words, _hot_hashes(docs, "text", k, least_words, rows))
-    over = F.count("*").over(Window.partitionBy("h", "salt"))
-    counted = tokens.withColumn("df", F.when(F.col("salt") > 0, F.lit(_FREQUENT)).otherwise(over.cast("int"))).where("df > 1")
+    spread = F.pmod("doc", F.greatest(F.lit(1), F.ceil(F.col("hot") / HOT_ROWS)))
+    over = F.count("*").over(Window.partitionBy("h", spread))
+    counted = tokens.withColumn("df", F.when(F.col("hot") > 0, F.col("hot")).otherwise(over)).where("df > 1")
     t = F.lit(threshold)
     need = F.ceil(t * F.col("n")).cast("int")  # |A n B| >= t |A u B| >= t |A|
     sets = counted.groupBy("doc").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("df", "h"))).alias("toks"))
@@ -101,14 +115,19 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text
     whole = sets.join(reps.select("fp", "rep"), "fp").select("rep", "doc")
     one = materialize(sets.join(reps.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "n", "need", "toks", "hs", *[_bitmap(w) for w in range(4)]), "reps")
     band = F.floor(F.log(max(1 / threshold, 1.01), F.col("n").cast("double")) + 1e-9).cast("int")
-    prefix = F.explode(F.expr("slice(toks.h, 1, size(hs) - need + 1)")).alias("h")
+    prefix = F.explode(F.expr("slice(toks, 1, size(hs) - need + 1)")).alias("t")
+    sign = ("doc", "n", "s", "b0", "b1", "b2", "b3")
     tiles = one.select(prefix, "doc", "n", F.size("hs").alias("s"), "b0", "b1", "b2", "b3", band.alias("band"))
-    small = tiles.select("h", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "s", "b0", "b1", "b2", "b3")])
+    tiles = tiles.select(F.col("t.h").alias("h"), F.greatest(F.lit(1).cast("long"), F.ceil(F.col("t.df") / TILE)).alias("grid"), "band", *sign)
+    mine, all_cells = (lambda seed: F.pmod(F.xxhash64("doc", F.lit(seed)), F.col("grid"))), F.explode(F.sequence(F.lit(0).cast("long"), F.col("grid") - 1))
+    small = tiles.select("h", "band", mine(1).alias("row"), all_cells.alias("column"), *[F.col(c).alias(f"{c}_a") for c in sign])
+    small = small.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    tiles = tiles.select("h", "band", all_cells.alias("row"), mine(2).alias("column"), *sign)
     xor = sum((F.bit_count(F.col(f"b{w}").bitwiseXOR(F.col(f"b{w}_a"))) for w in range(1, 4)), F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_a"))))
     most = (F.col("s") + F.col("s_a") - xor) / 2
     floor = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n_a")) - 1e-6
     later = (F.col("n_a") < F.col("n")) | ((F.col("n_a") == F.col("n")) & (F.col("doc_a") < F.col("doc")))
-    cand = small.join(tiles, ["h", "band"]).where(later & (F.col("n_a") >= t * F.col("n") - 1e-6) & (most >= floor))
+    cand = small.join(tiles, ["h", "band", "row", "column"]).where(later & (F.col("n_a") >= t * F.col("n") - 1e-6) & (most >= floor))
     cand = materialize(cand.select(F.col("doc_a").alias("x"), F.col("doc").alias("y")).distinct(), "candidates")
     left = one.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("hs").alias("hx"))
     right = one.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("hs").alias("hy"))

@@ -38,7 +38,7 @@ def test_term_counts(spark, tmp_path):
     old = {i: " ".join(rnd.choices(words, k=rnd.randint(0, 12))) if i % 9 else None for i in range(80)}
     new = {i: t for i, t in old.items() if i % 7} | {i: "  ".join(rnd.choices(words, k=5)) for i in range(70, 95)} | {3: None}
     frame = lambda d: spark.createDataFrame(list(d.items()), "k int, text string")
-    c = term_counts.TermCounts(spark, str(tmp_path / "a"), "words", buckets=4)
+    c = term_counts.TermCounts(spark, str(tmp_path / "a"), "words")
     c.apply(term_counts.added(frame(old), "text"))
     c.apply(term_counts.changes_between(frame(old), frame(new), "k", "text"))
     want_occ, want_rec = Counter(), Counter()
@@ -59,6 +59,39 @@ def test_term_counts(spark, tmp_path):
     assert term_counts.TermCounts(spark, str(tmp_path / "c")).counts().count() == 0
 
 
+def test_small_changes_write_little_and_breaks_lose_nothing(spark, tmp_path, monkeypatch):
+    frame = lambda ts: spark.createDataFrame([(t,) for t in ts], "text string")
+    path = tmp_path / "a"
+    c = term_counts.TermCounts(spark, str(path), "words")
+    old = [f"w{i} w{i + 1} x" for i in range(1000)]
+    c.apply(term_counts.added(frame(old), "text"))
+    whole = c.state["runs"][0]
+    c.apply(term_counts.added(frame(old[:10]), "text"))
+    assert c.state["runs"][0] == whole and c.state["runs"][1]["terms"] == 12  # the state is not written again
+    want = Counter(w for t in old + old[:10] for w in t.split())
+    held = lambda x: {r["term"]: r["occurrences"] for r in x.counts().collect()}
+    assert held(c) == want and c.records == 1010
+    # broken off before, and after, the manifest is in its place
+    for step in ("_write_manifest", "_clean"):
+        with monkeypatch.context() as m:
+            m.setattr(term_counts.TermCounts, step, lambda *a: (_ for _ in ()).throw(OSError("killed")))
+            with pytest.raises(OSError):
+                term_counts.TermCounts(spark, str(path), "words").apply(term_counts.added(frame(["x y"]), "text"))
+        if step == "_clean":
+            want.update(["x", "y"])
+        assert held(term_counts.TermCounts(spark, str(path), "words")) == want
+    (path / "manifest-000000000009.json.new").write_text("{")  # half a manifest
+    c = term_counts.TermCounts(spark, str(path), "words")
+    for _ in range(6):
+        c.apply(term_counts.added(frame(["x y"]), "text"))
+        want.update(["x", "y"])
+    assert held(c) == want and len(c.state["runs"]) <= 3 and sum(1 for _ in path.iterdir()) <= 12
+    two = term_counts.TermCounts(spark, str(path), "words")
+    c.apply(term_counts.added(frame(["z"]), "text"))
+    with pytest.raises(OSError):  # a second writer does not overwrite
+        two.apply(term_counts.added(frame(["z"]), "text"))
+
+
 def shingle_pairs(docs, k, threshold, least):
     s = {}
     for i, t in docs:
@@ -69,8 +102,11 @@ def shingle_pairs(docs, k, threshold, least):
     return {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(s[a] & s[b]) >= threshold * len(s[a] | s[b]) - 1e-12}
 
 
-@pytest.mark.parametrize("k,threshold", [(3, 0.5), (5, 0.8)])
-def test_near_duplicates_against_brute_force(spark, k, threshold):
+@pytest.mark.parametrize("k,threshold,small", [(3, 0.5, False), (5, 0.8, False), (3, 0.5, True)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, k, threshold, small):
+    if small:  # hot hashes and grids as a large collection has them
+        monkeypatch.setattr(near_duplicates, "HOT_ROWS", 10)
+        monkeypatch.setattr(near_duplicates, "TILE", 2)
     rnd = random.Random(k)
     words = made_up(rnd, 40)
     docs, hot = [], " ".join(rnd.choices(words, k=30))
