@@ -351,7 +351,7 @@ def test_nnls_against_normal_equations():
         assert (x >= 0).all() and (g > -1e-7).all() and abs(g @ x) < 1e-7
 
 
-def test_trie_against_brute_force(spark):
+def test_trie_against_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
     words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 7))) for _ in range(300)})
     t = trie.Trie(words)
@@ -364,9 +364,12 @@ def test_trie_against_brute_force(spark):
     asked = ["", "a", "b", "ab", "abc", "cabca", "x", "zz"] + words[::9]
     got = sorted(tuple(r)[:3] for r in trie.near_words(spark.createDataFrame([(x,) for x in asked], "query string"), v, 1).collect())
     assert got == sorted((x, w, e) for x in set(asked) - {""} for w in words if (e := distance(x, w)) <= 1)
-    marked = [x[:1] + "?" + x[1:] for x in words if len(x) > 1][:40]
-    got = sorted(tuple(r)[:3] for r in trie.near_words(spark.createDataFrame([(x,) for x in marked], "query string"), v, 2).collect())
-    assert got == sorted((x, w, e) for x in set(marked) for w in words if (e := distance(x, w)) <= 2)
+    for k in (0, 2, 3):  # any query, with a sign no word has or without
+        asked = ["a", "bc", "a?b", "?", "cab?a", "bbbbbb", *words[::17]]
+        got = sorted(tuple(r)[:3] for r in trie.near_words(spark.createDataFrame([(x,) for x in asked], "query string"), v, k).collect())
+        assert got == sorted((x, w, e) for x in set(asked) for w in words if (e := distance(x, w)) <= k)
+    monkeypatch.setattr(trie, "BLOCK_WORDS", 2)
+    assert {(r["word"], r["edits"]) for r in trie.near_words(q, v, 1).collect()} == {(w, e) for w in words if (e := distance("abca", w)) <= 1}
     assert trie.near_words(q.limit(0), v, 1).count() == 0 == trie.near_words(q, v.limit(0), 1).count()
 
 
@@ -447,6 +450,25 @@ def test_scans(spark):
     assert scans.noise(d.limit(0), a.limit(0), none).count() == 0 == scans.paragraphs(d.limit(0), a.limit(0), none).count()
 
 
+def test_the_automaton_decides_line_ends(spark):
+    ends = [("a", 0, "পথা", "ৰত", False), ("a", 1, "গছ", "বোন", False), ("a", 2, "গছ", "বোল", False), ("a", 3, "গছ", "নদী", False), ("a", 4, "মা", "টি", False), ("a", 5, "নদী", "নদী", False), ("a", 6, "গছ", "xz", True), ("a", 7, "চকু", None, False)]
+    facts = spark.createDataFrame([("end", "book", "d", 1, p, n, "d", w1, w2, sure) for p, n, w1, w2, sure in ends], "what string, src string, doc string, pn int, page string, no int, own string, w1 string, w2 string, sure boolean")
+    vocab = spark.createDataFrame([("গছ", 9), ("নদী", 9), ("গছবোন", 1), ("মাটি", 1), ("মা", 5), ("চকু", 2)], "word string, n long")
+    got = {r["no"]: (r["joined"], r["by"]) for r in scans.broken_words(facts, vocab).collect()}
+    # a first part that is no word; a known word joined; one within an edit; a dash; a short rare word; a pair; a sign; a word at the end
+    assert got == {0: ("পথাৰত", "automaton"), 1: ("গছবোন", "automaton"), 2: ("গছবোন", "automaton"), 4: ("মাটি", "automaton"), 5: ("নদী-নদী", "sign"), 6: ("গছxz", "sign")}
+
+
+def test_furniture_has_no_size(spark):
+    long, other = "দীঘল শিৰোনাম " * 12, "পথাৰ গছ নদী " * 3
+    rows = [(f"p/{n}", i, t) for n in range(12341, 12346) for i, t in enumerate([long if n != 12343 else long.replace("ঘ", "থ", 1), *[f"{other}{n}{k} কথা" for k in range(8)], "-" * 40 + f" {n + 7} " + "-" * 40])]
+    d = spark.createDataFrame([("b", *r) for r in rows], "source_document string, source_page string, line_index int, prediction string").withColumn("ingested_at", F.timestamp_micros(F.lit(1)))
+    a = spark.createDataFrame([], "source_document string, source_page string, line_index int, transcription string")
+    none = spark.createDataFrame([], "document_id string, source_page string, line_order int, text string")
+    got = {(r["source_page"], r["line_no"], r["kind"]) for r in scans.noise(d, a, none).collect()}
+    assert got == {(f"p/{n}", 9, "page_number") for n in range(12341, 12346)} | {(f"p/{n}", 0, "header") for n in range(12342, 12346)}
+
+
 def test_paragraphs_go_on_over_pages(spark):
     pages = {
         1: ["কমল নদী পাৰত গছৰ তলত", "মানুহ আহি বহি গান গাই থাকে", "বতাহত ফুলৰ গোন্ধ ভাহি আহে আৰু"],
