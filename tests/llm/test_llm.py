@@ -298,19 +298,33 @@ def test_split_overlap_against_brute_force(spark, monkeypatch):
 def test_weighted_vectors_keep_every_match():
     rnd = random.Random(12)
     freq = np.array([rnd.choice((0, 0, 3, 900, 60_000)) for _ in range(split_overlap.TABLE // 64)] * 64, np.uint16)
-    dropped = 0
+    xs, ys, cs = [], [], []
     for _ in range(300):
         x = [rnd.choice("abcd ") for _ in range(rnd.randint(30, 90))]
         y = list(x)
         for _ in range(rnd.randint(0, len(x) // 10)):
             k = rnd.randrange(len(y))
             y[k : k + 1] = rnd.choice(([], ["z"], [y[k], "z"]))
-        a, b = "".join(x), "".join(y)
-        if distance(a, b) <= max(len(a), len(b)) // 10:
-            assert split_overlap.may_match(split_overlap.Vector(a, freq), split_overlap.Vector(b, freq))
-        c = "".join(rnd.sample(x, len(x)))
-        dropped += not split_overlap.may_match(split_overlap.Vector(a, freq), split_overlap.Vector(c, freq))
-    assert dropped > 250
+        if distance("".join(x), "".join(y)) <= max(len(x), len(y)) // 10:
+            xs.append("".join(x))
+            ys.append("".join(y))
+            cs.append("".join(rnd.sample(x, len(x))))
+    assert split_overlap.may_match(xs, ys, freq).all() and split_overlap.may_match(xs, cs, freq).mean() < 0.1
+
+    def terms(t):
+        h = split_overlap.flat_runs([t])[0]
+        return Counter(h.tolist())
+
+    def weight(h):
+        return 1 - int(freq[h & (split_overlap.TABLE - 1)]) / 65_536
+
+    def expected(x, y):
+        e, a, b = max(len(x), len(y)) // 10, terms(x), terms(y)
+        left = [sum(sorted((weight(h) for h in t.elements()), reverse=True)[split_overlap.Q * e :]) for t in (a, b)]
+        return sum(n * b[h] * weight(h) for h, n in a.items()) >= max(left) - 1e-6
+
+    mixed = list(zip(xs, ys))[:60] + list(zip(xs, cs))[:60] + list(zip(xs, ys[1:]))[:60] + [("ab" * 30, "ab" * 31)]
+    assert split_overlap.may_match(*map(list, zip(*mixed)), freq).tolist() == [expected(x, y) for x, y in mixed]
 
 
 def test_image_overlap(spark):
