@@ -295,6 +295,16 @@ def test_split_overlap_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, split_overlap.text_overlap(d).collect())) == sorted(want)
 
 
+def test_signatures_bound_the_distance():
+    rnd = random.Random(5)
+    for t in ["".join(rnd.choices(LETTERS + " ", k=rnd.randint(1, 120))) for _ in range(200)] + ["a" * 500]:
+        u = list(t)
+        k = rnd.randrange(len(u))
+        u[k : k + 1] = rnd.choice(([], ["z"], [u[k], "z"]))
+        (c, x), (e, y) = (a.tolist() for a in split_overlap.signatures([t, "".join(u) or "z"]))
+        assert ((c ^ x) & (1 << 64) - 1).bit_count() <= 2 and ((e ^ y) & (1 << 64) - 1).bit_count() <= 4
+
+
 def test_weighted_vectors_keep_every_match():
     rnd = random.Random(12)
     freq = np.array([rnd.choice((0, 0, 3, 900, 60_000)) for _ in range(split_overlap.TABLE // 64)] * 64, np.uint16)
