@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -33,7 +34,9 @@ def _evaluate(spark: SparkSession, a) -> int:
     from bohagi.operators.evaluation import evaluate_documents
     from bohagi.sources import readers, writers
 
-    key = F.lit("document").alias("doc")
+    # documents of a folder are told apart by their files' names, the same on both sides; two single files are one document
+    key = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1) if all(os.path.isdir(x) for x in (a.expected, a.predicted)) else F.lit("document")
+    key = key.alias("doc")
     e, p = (readers.read_documents(spark, x).select(key, "pages") for x in (a.expected, a.predicted))
     for name, df in evaluate_documents(e, p, a.iou).items():
         print(name, *[writers.report(df)] if name != "layout_by_class" else [r.asDict() for r in df.collect()], sep="\n")

@@ -20,47 +20,39 @@ BLOCK_TAGS = frozenset("br div h1 h2 h3 h4 li p table tr".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-class _Scope(HTMLParser):
-    """Collects text below the first element of a class. A nesting count tells where it ends: void tags
-    written without a slash add to it for good, unless strict."""
+#: Kinds of events of a document: what they do to the depth of open elements; text does nothing to it.
+OPENS, CLOSES, SINGLE, TEXT = 1, -1, 0, None
 
-    def __init__(self, wanted: str, strict: bool) -> None:
-        super().__init__(convert_charrefs=True)
-        self.wanted, self.strict, self.nesting, self.met, self.out = wanted, strict, 0, False, []
-
-    def handle_starttag(self, tag, attrs):
-        if self.nesting:
-            if tag in BLOCK_TAGS:
-                self.out.append("\n")
-            if not (self.strict and tag in VOID_TAGS):
-                self.nesting += 1
-        elif any(k == "class" and self.wanted in (v or "").split() for k, v in attrs[-1:] + attrs):
-            self.nesting, self.met = 1, True
 
-    def handle_startendtag(self, tag, attrs):
-        if self.nesting and tag in BLOCK_TAGS:
-            self.out.append("\n")
+class _Events(HTMLParser):
+    """A document as a list of (kind, tag, value): the value is an opening tag's class, or the text."""
 
-    def handle_endtag(self, tag):
-        if self.nesting:
-            if tag in BLOCK_TAGS:
-                self.out.append("\n")
-            if not (self.strict and tag in VOID_TAGS):
-                self.nesting -= 1
-
-    def handle_data(self, data):
-        if self.nesting:
-            self.out.append(data)
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.events: list[tuple[int | None, str, str]] = []
+        note = self.events.append
+        self.handle_starttag = lambda tag, attrs: note((OPENS, tag, dict(attrs).get("class") or ""))
+        self.handle_endtag = lambda tag: note((CLOSES, tag, ""))
+        self.handle_startendtag = lambda tag, attrs: note((SINGLE, tag, ""))
+        self.handle_data = lambda data: note((TEXT, "", data))
 
 
 def scope_text(markup: str, wanted: str = "pagetext", strict: bool = False) -> str:
-    """Normalised text below elements of a class; empty where there is none. References are read twice and
-    soft hyphens dropped."""
-    p = _Scope(wanted, strict)
-    p.feed(markup)
-    if not p.met:
-        return ""
-    return " ".join(unicodedata.normalize("NFC", html.unescape("".join(p.out)).replace("­", "")).split())
+    """Normalised text below elements of a class; empty where there is none. Tags that begin a line do so at either
+    end. The depth below the element tells where it ends: void tags written without a slash add to it for good,
+    unless strict. References are read twice and soft hyphens dropped; of a repeated attribute the last counts."""
+    doc = _Events()
+    doc.feed(markup)
+    depth, parts = 0, []
+    for kind, tag, value in doc.events:
+        if not depth:
+            depth = int(kind == OPENS and wanted in value.split())
+        elif kind is TEXT:
+            parts.append(value)
+        else:
+            parts.append("\n" if tag in BLOCK_TAGS else "")
+            depth += 0 if strict and tag in VOID_TAGS else kind
+    return " ".join(unicodedata.normalize("NFC", html.unescape("".join(parts)).replace("\u00ad", "")).split())
 
 
 def page_text(c: Column, wanted: str = "pagetext", strict: bool = False) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ REPERTOIRE = (
 
 @F.arrow_udf(T.StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
+    # Arrow's own kernel leaves some sequences apart that compose (u and U+0308), so it can't take this over
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
@@ -131,15 +133,46 @@ def occurrences(c: Column, part: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+#: Distinct words of a pair that have a code point each below the surrogates.
+CODED_WORDS = 50_000
+
+
+def sequence_distance(a: list[str], b: list[str]) -> int:
+    """Edit distance of two lists of any length. What they begin and end with alike is left out; then a row of the
+    table at a time, insertions being a running minimum."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    names: dict[str, int] = {}
+    x, y = (np.array([names.setdefault(w, len(names)) for w in ws], np.int64) for ws in (a, b))
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, w in enumerate(x, 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != w))])
+        row = np.minimum.accumulate(best - place) + place
+    return int(row[-1])
+
+
+@F.arrow_udf(T.IntegerType())
+def _sequence_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else sequence_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+
 def word_distance(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each distinct word becomes one code point of a private order,
-    then the JVM's edit distance of strings applies (up to 50,000 distinct words a pair)."""
+    then the JVM's edit distance of strings applies. Pairs of more than CODED_WORDS distinct words go through an Arrow
+    batch function with the same result; for all others it gets nulls."""
     both = F.array_distinct(F.concat(a, b))
+    large = F.size(both) > CODED_WORDS
 
     def coded(ws: Column) -> Column:
         return F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, w) + 256), 4, "0")), "UTF-16BE")), "")
 
-    return F.levenshtein(coded(a), coded(b))
+    return F.when(large, _sequence_distance(F.when(large, a), F.when(large, b))).otherwise(F.levenshtein(coded(F.when(~large, a)), coded(F.when(~large, b))))
 
 
 def canonical_url(c: Column) -> Column:

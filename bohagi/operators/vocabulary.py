@@ -80,14 +80,17 @@ class Vocabulary:
         chars = self.array()
         return F.array_join(F.transform(kept, lambda x: F.when((x > 0) & (x <= len(self.characters)), F.get(chars, x - 1)).otherwise("")), "")
 
-    def to_json(self) -> str:
-        return json.dumps({"blank": 0, "characters": list(self.characters), "sha256": self.sha256}, ensure_ascii=False, indent=2)
+    def to_json(self, language: str = "as") -> str:
+        """The vocabulary file: its keys and their order are the format's."""
+        fields = {"format_version": 1, "blank_id": 0, "normalization": "NFC", "language": language, "characters": list(self.characters), "sha256": self.sha256}
+        return json.dumps(fields, ensure_ascii=False, indent=2) + "\n"
 
     @classmethod
     def from_json(cls, text: str) -> Vocabulary:
+        """A missing blank counts as 0 and a missing or empty checksum as right."""
         d = json.loads(text)
         v = cls(tuple(d["characters"]))
-        if d.get("blank") != 0 or d.get("sha256") != v.sha256:
+        if d.get("blank_id", 0) != 0 or (d.get("sha256") or v.sha256) != v.sha256:
             raise ValueError("vocabulary file is damaged: blank or checksum differs")
         return v
 

@@ -5,16 +5,33 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bohagi.functions.geometry import height, html_font_size, width
 from bohagi.functions.html import escape
 
 
+def _hadoop(path: str):
+    """(file system, path) of any scheme."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise ValueError(f"{path} needs a session")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def guard(path: str, overwrite: bool = False) -> None:
-    """Refuses the root, the working folder and its parents, and folders that hold something unless told."""
-    p = Path(path).resolve()
+    """Refuses the root, the working folder and its parents, and folders that hold something unless told. Paths with a
+    scheme are looked up in their own file system."""
+    if "://" in path and not path.startswith("file://"):
+        fs, at = _hadoop(path)
+        if at.getParent() is None:
+            raise ValueError(f"refusing to write to {path}")
+        if fs.exists(at) and len(fs.listStatus(at)) and not overwrite:
+            raise FileExistsError(f"{path} holds something")
+        return
+    p = Path(path.removeprefix("file://")).resolve()
     if p == Path(p.anchor) or p == Path.cwd() or p in Path.cwd().parents:
         raise ValueError(f"refusing to write to {p}")
     if p.exists() and any(p.iterdir()) and not overwrite:
@@ -43,13 +60,28 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def promote(spark, staged: str, target: str) -> None:
-    """A staged folder takes the place of the target."""
+    """A staged folder takes the place of the target. The old one is set aside first and removed last, and comes back if
+    the staged one can't be renamed, so at every moment one of them is whole."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    a, b = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(target)
-    fs = b.getFileSystem(conf)
-    fs.delete(b, True)
-    if not fs.rename(a, b):
+    new, at, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (staged, target, target.rstrip("/") + ".old"))
+    fs = at.getFileSystem(conf)
+    if not fs.exists(new):
+        raise OSError(f"{staged} is not there")
+    if fs.exists(at):
+        fs.delete(aside, True)  # left by a job that broke off after its rename
+        if not fs.rename(at, aside):
+            raise OSError(f"could not set {target} aside")
+    if not fs.rename(new, at):
+        if fs.exists(aside):
+            fs.rename(aside, at)
         raise OSError(f"could not rename {staged} to {target}")
+    fs.delete(aside, True)
+
+
+def write_text(documents: DataFrame, path: str, name: str = "name", pages: str = "pages", overwrite: bool = False) -> None:
+    """The text of each document (name, pages) in a folder name=..., one file for each."""
+    d = documents.select(F.col(name).alias("name"), document_text(F.col(pages)).alias("value")).where("value <> ''")
+    d.select("name", F.regexp_replace("value", r"\n$", "").alias("value")).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("name").text(path)
 
 
 def document_text(pages: Column) -> Column:
