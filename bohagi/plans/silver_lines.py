@@ -70,6 +70,45 @@ def ledger(*reasons: DataFrame) -> DataFrame:
     return every.where("reason <> 'ok'").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def gated_pages(listed: DataFrame, details: DataFrame, files: DataFrame, texts: DataFrame, any_license: bool = False) -> DataFrame:
+    """Listed pages (source_document, source_page) with their details (source_page, quality, image, revision), their
+    file's licence (source_document, license) and text (source_page, text), and the reason of each. Pages
+    without details, licence or text keep nulls and fall to the gate that asks for them."""
+    d = listed.join(details, "source_page", "left").join(files.select("source_document", "license"), "source_document", "left").join(texts.select("source_page", "text"), "source_page", "left")
+    return d.withColumn("reason", page_reason(*(F.col(c) for c in ("quality", "image", "revision", "license")), F.coalesce("text", F.lit("")), any_license))
+
+
+def gated_lines(lines: DataFrame, covered: Column, duplicate: str = "image_hash", order: list | None = None) -> DataFrame:
+    """Aligned lines (source_document, source_page, line_index, transcription, score, width, height, image_hash) with the
+    reason of each: the gates in order, then duplicate for an image that an earlier line has."""
+    order = order or ["source_document", "source_page", "line_index"]
+    d = lines.withColumn("transcription", F.coalesce("transcription", F.lit("")))
+    d = d.withColumn("reason", line_reason(F.col("transcription"), F.coalesce("score", F.lit(0.0)), covered, F.col("width"), F.col("height")))
+    good = d.where("reason = 'ok'")
+    first = first_wins(good, duplicate, order).select("source_page", "line_index", F.lit(True).alias("first"))
+    marked = good.join(first, ["source_page", "line_index"], "left").withColumn("reason", F.when(F.col("first"), "ok").otherwise("duplicate")).drop("first")
+    return d.where("reason <> 'ok'").unionByName(marked)
+
+
+def build(listed: DataFrame, details: DataFrame, files: DataFrame, texts: DataFrame, detected: DataFrame, covered: Column, alignment: DataFrame | None = None, any_license: bool = False) -> dict[str, DataFrame]:
+    """The whole preparation from a list of pages: accepted lines, rejected ones with reasons, the ledger of both
+    gates, the audit of detected and accepted lines of each page that passed, and the attributions.
+
+    detected has source_page, line_index, prediction, width, height and image_hash, one row for each line. Its lines are
+    aligned with the page's text (alignment gives source_page, line_index, transcription and score where that has been
+    done). covered says of a column transcription whether a vocabulary has all of it."""
+    pages = gated_pages(listed, details, files, texts, any_license)
+    good = pages.where("reason = 'ok'").select("source_document", "source_page", "text")
+    done = alignment if alignment is not None else aligned(detected, good)
+    facts = detected.select("source_page", "line_index", "width", "height", "image_hash")
+    lines = good.drop("text").join(done.select("source_page", "line_index", "transcription", "score"), "source_page").join(facts, ["source_page", "line_index"])
+    lines = gated_lines(lines, covered)
+    kept = lines.where("reason = 'ok'").drop("reason")
+    count = lambda d, n: d.groupBy("source_page").agg(F.count("*").alias(n))
+    audit = good.drop("text").join(count(detected, "detected"), "source_page", "left").join(count(kept, "accepted"), "source_page", "left").fillna(0, ["detected", "accepted"])
+    return {"accepted": kept, "rejected": lines.where("reason <> 'ok'"), "ledger": ledger(pages, lines), "page_audit": audit, "attributions": attributions(files, kept)}
+
+
 def attributions(files: DataFrame, accepted_lines: DataFrame) -> DataFrame:
     """Attribution of the files that an accepted line comes from."""
     return files.join(accepted_lines.select("source_document").distinct(), "source_document", "left_semi")

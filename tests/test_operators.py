@@ -194,7 +194,7 @@ def test_pages_end_to_end(spark):
 
 
 def test_wiki_source(spark, tmp_path):
-    from bohagi.sources.wiki import Client, WikiSource
+    from bohagi.sources.wiki import Client, WikiError, WikiSource
 
     answers = [{"query": {"allpages": [{"title": "a.pdf"}]}, "continue": {"apcontinue": "b"}}, {"query": {"allpages": [{"title": "b.pdf"}]}}]
     pages = {"query": {"pages": [{"title": "a.pdf", "revisions": [{"revid": 3, "slots": {"main": {"content": "text"}}}]}, {"title": "none", "missing": True}]}}
@@ -212,17 +212,65 @@ def test_wiki_source(spark, tmp_path):
         def read(self):
             return json.dumps(self.x).encode()
 
-    def opener(url):
-        return Reply(pages if "revisions" in url else answers[1] if "apcontinue" in url else answers[0])
+    book = {"query": {"proofreadpagesinindex": [{"title": "P/1", "formattedPageNumber": "1"}, {"title": "P/2"}]}}
+    part = {"query": {"pages": [{"title": "P/1", "proofread": {"quality": 4}}, {"title": "P/2"}]}, "continue": {"rvcontinue": "x"}}
+    rest = {"query": {"pages": [{"title": "P/1", "revisions": [{"revid": 9, "timestamp": "t"}], "imagesforpage": {"fullsize": "//i/1"}}]}}
+    info = {"query": {"pages": [{"title": "File:a", "imageinfo": [{"url": "u", "sha1": "s", "extmetadata": {"LicenseShortName": {"value": "CC0"}}}]}, {"title": "File:none"}]}}
+    asked = []
+
+    def opener(request, timeout):
+        url = request.full_url
+        asked.append(url)
+        assert timeout and request.headers["User-agent"]
+        for sign, reply in (("proofreadpagesinindex", book), ("rvcontinue", rest), ("imageforpage", part), ("imageinfo", info), ("action=parse", {"parse": {"text": "<p>x</p>"}} if "oldid=7" in url else {"error": {"code": "nosuchrevid"}}), ("revisions", pages), ("apcontinue", answers[1]), ("allpages", answers[0])):
+            if sign in url:
+                return Reply(reply)
 
     c = Client("http://x/api", str(tmp_path), opener=opener)
-    assert list(c.titles("", "106")) == ["a.pdf", "b.pdf"]
+    assert list(c.titles("", "106")) == [("a.pdf",), ("b.pdf",)]
     assert list(c.pages(["a.pdf", "none"])) == [("a.pdf", 3, "text"), ("none", None, None)]
+    assert list(c.index("B")) == [("B", "P/1", "1", 0), ("B", "P/2", None, 1)]
+    assert list(c.details(["P/1", "P/2"])) == [("P/1", 4, 9, "t", "//i/1"), ("P/2", None, None, None, None)]
+    assert list(c.text("7")) == [(7, "<p>x</p>")]
+    assert list(c.files(["a", "none"])) == [("File:a", "u", "s", "CC0", None, None, None), ("File:none", *[None] * 6)]
+    for n in (1, 2):  # an error is asked for again, anything else is not
+        before = len(asked)
+        with pytest.raises(WikiError):
+            list(c.text("8"))
+        list(c.details(["P/1", "P/2"]))
+        assert len(asked) == before + 1
+    broken = iter([b"<html>", json.dumps(book).encode()])
+    waits = []
+
+    class Half(Reply):
+        def read(self):
+            return next(broken)
+
+    assert len(list(Client("http://y/api", None, opener=lambda r, timeout: Half(None), sleep=waits.append).index("B"))) == 2 and len(waits) == 1
     spark.dataSource.register(WikiSource)  # from the cache alone
-    d = spark.read.format("wiki").option("endpoint", "http://x/api").option("cache", str(tmp_path)).load()
-    assert sorted(r["title"] for r in d.collect()) == ["a.pdf", "b.pdf"]
-    p = spark.read.format("wiki").options(endpoint="http://x/api", cache=str(tmp_path), kind="pages", titles=json.dumps(["a.pdf", "none"])).load()
-    assert {(r["title"], r["revision"]) for r in p.collect()} == {("a.pdf", 3), ("none", None)}
+    read = lambda **o: spark.read.format("wiki").options(endpoint="http://x/api", cache=tmp_path.as_uri(), **o).load().collect()
+    assert sorted(r["title"] for r in read()) == ["a.pdf", "b.pdf"]
+    assert {(r["title"], r["revision"]) for r in read(kind="pages", titles=json.dumps(["a.pdf", "none"]))} == {("a.pdf", 3), ("none", None)}
+    assert [(r["title"], r["quality"], r["revision"]) for r in read(kind="details", titles=json.dumps(["P/1", "P/2"]))] == [("P/1", 4, 9), ("P/2", None, None)]
+    assert [tuple(r) for r in read(kind="texts", revisions="[7]")] == [(7, "<p>x</p>")]
+    assert len(read(kind="index", titles='["B"]')) == 2 == len(read(kind="files", names='["a", "none"]')) and read(kind="files") == []
+
+
+def test_silver_lines_from_a_list_of_pages(spark):
+    from bohagi.plans import silver_lines as s
+
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    text = "নদীৰ পাৰত ধান পকিছে আজি আৰু মানুহ আহিছে"
+    listed = rows([("d", f"p{i}") for i in range(5)], "source_document string, source_page string")
+    details = rows([("p0", 4, "i", 1), ("p1", 4, "i", 2), ("p2", 3, "i", 3), ("p3", 4, None, 4)], "source_page string, quality int, image string, revision long")
+    files = rows([("d", "CC0", "x")], "source_document string, license string, artist string")
+    texts = rows([("p0", text), ("p1", text), ("p2", text)], "source_page string, text string")
+    detected = rows([(p, k, t, 100, 20, h) for p in ("p0", "p1") for k, (t, h) in enumerate([("নদীৰ পাৰট ধান পকিছে", f"{p}a"), ("আজি আৰু মানুহ আহিছে", "same"), ("", None)])] + [("p2", 0, "নদীৰ", 1, 1, "z")], "source_page string, line_index int, prediction string, width int, height int, image_hash string")
+    got = s.build(listed, details, files, texts, detected, F.lit(True))
+    assert {(r["source_page"], r["line_index"], r["transcription"]) for r in got["accepted"].collect()} == {("p0", 0, "নদীৰ পাৰত ধান পকিছে"), ("p1", 0, "নদীৰ পাৰত ধান পকিছে"), ("p0", 1, "আজি আৰু মানুহ আহিছে")}
+    assert {r["reason"]: r["n"] for r in got["ledger"].collect()} == {"not_validated": 2, "missing_image": 1, "duplicate": 1}
+    assert {(r["source_page"], r["detected"], r["accepted"]) for r in got["page_audit"].collect()} == {("p0", 3, 2), ("p1", 3, 1)}
+    assert [r["artist"] for r in got["attributions"].collect()] == ["x"]
 
 
 def test_stream(spark, tmp_path):
