@@ -178,21 +178,25 @@ def latency_percentiles(spark, sf):
     return audit.latency_summary(table(spark, sf, "events").where("value is not null"), "value")
 
 
-@_query(f"WITH v AS ({_VOCAB}), w AS (SELECT id AS key, n, regexp_extract_all(n, '(?s).') AS c FROM (SELECT DISTINCT id, {_NORM} AS n FROM mozhi_words) WHERE n IS NOT NULL), m AS (SELECT map(list(char), list(id)) AS m FROM v) SELECT key AS id, n AS text, array_to_string(list_transform(c, lambda x: coalesce(CAST(m[x] AS VARCHAR), '')), ' ') AS ids FROM w, m")
+_CODED = f"WITH v AS ({_VOCAB}), w AS (SELECT id AS key, n, regexp_extract_all(n, '(?s).') AS c FROM (SELECT DISTINCT id, {_NORM} AS n FROM mozhi_words) WHERE n IS NOT NULL), m AS (SELECT map(list(char), list(id)) AS m FROM v), e AS (SELECT key AS id, n AS text, CASE WHEN len(list_filter(c, lambda x: m[x] IS NULL)) = 0 THEN array_to_string(list_transform(c, lambda x: CAST(m[x] AS VARCHAR)), ' ') END AS ids FROM w, m)"
+
+
+def _labels(spark, sf):
+    return table(spark, sf, "mozhi_words").select("id", t.normalize_label(F.col("text")).alias("text")).distinct().where("text is not null")
+
+
+@_query(_CODED + " SELECT * FROM e")
 def encode_text(spark, sf):
+    """Ids of every label; null where the training vocabulary lacks a character."""
     v = vocabulary.Vocabulary.of(_train_vocab(spark, sf))
-    d = table(spark, sf, "mozhi_words").select("id", t.normalize_label(F.col("text")).alias("text")).distinct().where("text is not null")
-    ids = F.create_map(*[F.lit(x) for k, c in enumerate(v.characters) for x in (c, k + 1)])
-    coded = F.transform(t.characters(F.col("text")), lambda c: F.coalesce(F.element_at(ids, c).cast("string"), F.lit("")))
-    return d.select("id", "text", F.array_join(coded, " ").alias("ids"))
+    return _labels(spark, sf).select("id", "text", F.array_join(v.encode(F.col("text")), " ").alias("ids"))
 
 
-@_query()
+@_query(_CODED + " SELECT id, text, text AS decoded FROM e WHERE ids IS NOT NULL")
 def decode_round_trip(spark, sf):
     """Every label that the vocabulary covers, encoded with a blank between and decoded again."""
     v = vocabulary.Vocabulary.of(_train_vocab(spark, sf))
-    d = table(spark, sf, "mozhi_words").select("id", t.normalize_label(F.col("text")).alias("text")).distinct().where("text is not null")
-    e = d.withColumn("ids", v.encode(F.col("text"))).where("ids is not null")
+    e = _labels(spark, sf).withColumn("ids", v.encode(F.col("text"))).where("ids is not null")
     spaced = F.flatten(F.transform("ids", lambda x: F.array(x, F.lit(0))))
     return e.select("id", "text", v.decode_ctc(spaced).alias("decoded"))
 
@@ -274,18 +278,26 @@ def quad_extents(spark, sf):
     return d.select("source_page", "line_index", "q.width", "q.height", "q.rotate")
 
 
-#: Pages of boxes derived from lineitem: a page for each order, expected and predicted regions.
+def _once(df: DataFrame, *keys: str) -> DataFrame:
+    """Of rows repeated with the same keys the greatest; rows without a key are left out."""
+    other = [c for c in df.columns if c not in keys]
+    d = df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.max(F.struct(*other)).alias("_x"))
+    return d.select(*keys, "_x.*")
+
+
+#: Pages of boxes derived from lineitem: a page for each order, expected and predicted regions. Boxes are 8 apart and 40
+#: high, so a region has several candidates and the greedy choice decides.
 _PAGES = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS idx FROM lineitem),
-e AS (SELECT l_orderkey AS page, CAST(idx AS INT) AS idx, (l_partkey % 10) * 70.0 AS x0, idx * 60.0 AS y0, (l_partkey % 10) * 70.0 + 50 + l_quantity * 4 AS x1, idx * 60.0 + 40 AS y1, CASE l_returnflag WHEN 'A' THEN 'table' WHEN 'N' THEN 'text' ELSE 'picture' END AS label, l_suppkey, l_partkey, l_discount, l_linestatus, l_tax FROM o),
+e AS (SELECT l_orderkey AS page, CAST(idx AS INT) AS idx, (l_partkey % 2) * 20.0 AS x0, idx * 8.0 AS y0, (l_partkey % 2) * 20.0 + 150 + l_quantity AS x1, idx * 8.0 + 40 AS y1, CASE l_returnflag WHEN 'A' THEN 'table' WHEN 'N' THEN 'text' ELSE 'picture' END AS label, l_suppkey, l_partkey, l_discount, l_linestatus, l_tax FROM o),
 p AS (SELECT page, idx, x0 + l_suppkey % 7 AS x0, y0 + (l_partkey % 3) * 12 AS y0, x1 + l_suppkey % 7 AS x1, y1 + (l_partkey % 3) * 12 AS y1, CASE WHEN l_partkey % 11 = 0 THEN 'title' ELSE label END AS label, round(0.5 + l_discount * 4, 6) AS confidence FROM e WHERE NOT (l_linestatus = 'F' AND l_tax > 0.065))"""
 
 
 def _boxes(spark, sf) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     o = table(spark, sf, "lineitem").withColumn("idx", F.row_number().over(w) - 1)
-    x0, y0 = (F.col("l_partkey") % 10) * 70.0, F.col("idx") * 60.0
+    x0, y0 = (F.col("l_partkey") % 2) * 20.0, F.col("idx") * 8.0
     label = F.when(F.col("l_returnflag") == "A", "table").when(F.col("l_returnflag") == "N", "text").otherwise("picture")
-    e = o.select(F.col("l_orderkey").alias("page"), "idx", g.box(x0, y0, x0 + 50 + F.col("l_quantity") * 4, y0 + 40).alias("bbox"), label.alias("label"), "l_suppkey", "l_partkey", "l_discount", "l_linestatus", "l_tax")
+    e = o.select(F.col("l_orderkey").alias("page"), "idx", g.box(x0, y0, x0 + 150 + F.col("l_quantity"), y0 + 40).alias("bbox"), label.alias("label"), "l_suppkey", "l_partkey", "l_discount", "l_linestatus", "l_tax")
     dx, dy = F.col("l_suppkey") % 7, (F.col("l_partkey") % 3) * 12
     p = e.where("not (l_linestatus = 'F' and l_tax > 0.065)").select(
         "page", "idx", g.box(F.col("bbox.x0") + dx, F.col("bbox.y0") + dy, F.col("bbox.x1") + dx, F.col("bbox.y1") + dy).alias("bbox"),
@@ -303,14 +315,19 @@ def iou_pairs(spark, sf):
     return c.select("page", "e", "p", g.iou(F.col("eb"), F.col("pb"), 1e-9).alias("iou")).where("iou >= 0.5").withColumn("iou", F.round("iou", 6))
 
 
-# boxes of a page are 60 apart and 40 high, so no region has two candidates and the greedy choice takes all
-@_query(_IOU + " SELECT page, e, p, round(iou, 6) AS iou FROM m")
+_GREEDY = _IOU.replace("WITH o AS", "WITH RECURSIVE o AS", 1) + """, q AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, e DESC, p DESC) AS k FROM m),
+w AS (SELECT page, k, e, p, iou, true AS taken, [e] AS es, [p] AS ps FROM q WHERE k = 1 UNION ALL
+SELECT page, k, e, p, iou, free, CASE WHEN free THEN list_append(es, e) ELSE es END, CASE WHEN free THEN list_append(ps, p) ELSE ps END FROM (SELECT q.*, w.es, w.ps, NOT list_contains(w.es, q.e) AND NOT list_contains(w.ps, q.p) AS free FROM w JOIN q ON q.page = w.page AND q.k = w.k + 1)),
+g AS (SELECT page, e, p, iou FROM w WHERE taken)"""
+
+
+@_query(_GREEDY + " SELECT page, e, p, round(iou, 6) AS iou FROM g")
 def match_regions(spark, sf):
     e, p = _boxes(spark, sf)
     return layout.match_regions(e, p, ["page"]).withColumn("iou", F.round("iou", 6))
 
 
-@_query(_IOU + """, l AS (SELECT label, sum(tp) AS tp, sum(en) AS en, sum(pn) AS pn FROM (SELECT e.label, 1 AS tp, 0 AS en, 0 AS pn FROM m JOIN e ON m.page = e.page AND m.e = e.idx UNION ALL SELECT label, 0, 1, 0 FROM e UNION ALL SELECT label, 0, 0, 1 FROM p) GROUP BY 1),
+@_query(_GREEDY + """, l AS (SELECT label, sum(tp) AS tp, sum(en) AS en, sum(pn) AS pn FROM (SELECT e.label, 1 AS tp, 0 AS en, 0 AS pn FROM g JOIN e ON g.page = e.page AND g.e = e.idx UNION ALL SELECT label, 0, 1, 0 FROM e UNION ALL SELECT label, 0, 0, 1 FROM p) GROUP BY 1),
 r AS (SELECT label, CAST(tp AS BIGINT) AS true_positive, CAST(pn - tp AS BIGINT) AS false_positive, CAST(en - tp AS BIGINT) AS false_negative, tp / greatest(1, pn) AS pr, tp / greatest(1, en) AS re FROM l)
 SELECT label, true_positive, false_positive, false_negative, round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / greatest(1e-9, pr + re), 6) AS f1 FROM r""")
 def layout_prf(spark, sf):
@@ -337,7 +354,7 @@ def suppress_regions(spark, sf):
 @_query()
 def arranged_pages(spark, sf):
     """Regions of text_lines pages with their lines, in reading order."""
-    d = table(spark, sf, "text_lines").where("source_page is not null").dropDuplicates(["source_page", "line_order"])
+    d = _once(table(spark, sf, "text_lines"), "source_page", "line_order")
     poly = F.array(*[F.array(F.col(f"bbox.{x}"), F.col(f"bbox.{y}")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])
     line = F.struct("id", "bbox", poly.alias("polygon"), "text", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.col("line_order").alias("order"))
     r = d.groupBy("source_page", "region_id").agg(F.min("region_label").alias("label"), F.struct(*[f(f"bbox.{k}").alias(k) for k, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]).alias("bbox"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"), F.array_sort(F.collect_list(line), lambda a, b: a["order"] - b["order"]).alias("l"))
@@ -415,11 +432,62 @@ def split_prefix(spark, sf):
     return selection.split_prefix(d, "split", ["id"], 100)
 
 
-@_query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN alignment_score < 0.68 THEN 'low_alignment' WHEN length(text) < 3 THEN 'short_text' ELSE {_reason('text', 0.75)} END AS reason FROM (SELECT CAST(alignment_score AS DOUBLE) AS alignment_score, coalesce(trim(regexp_replace(nfc_normalize(transcription), '{_WS}+', ' ', 'g')), '') AS text FROM aligned_lines)) WHERE reason <> 'ok' GROUP BY 1")
+_EXTENT = [f"greatest(2, CAST(round_even(greatest({_EDGE.format(*a)}, {_EDGE.format(*b)}), 0) AS INT))" for a, b in (((1, 2), (4, 3)), ((1, 4), (2, 3)))]
+#: Pages, their facts and their lines from the tables: every tenth revision is not proofread; an image hash is that of the first words.
+_SILVER = f"""WITH v AS ({_VOCAB}), va AS (SELECT list(char) AS a FROM v),
+a AS (SELECT source_page, line_index, max({{'transcription': transcription, 'document': source_document, 'license': source_license, 'score': alignment_score}}) AS x FROM aligned_lines WHERE source_page IS NOT NULL AND line_index IS NOT NULL GROUP BY 1, 2),
+al AS (SELECT source_page, line_index, coalesce({_NORM.replace('text', 'x.transcription')}, '') AS text, coalesce(CAST(x.score AS DOUBLE), 0.0) AS score FROM a),
+dq AS (SELECT source_page, line_index, max({{'polygon': polygon, 'document': source_document}}) AS y FROM detected_lines WHERE source_page IS NOT NULL AND line_index IS NOT NULL GROUP BY 1, 2),
+de AS (SELECT source_page, line_index, y.polygon AS polygon FROM dq),
+ds AS (SELECT source_page, line_index, {_EXTENT[0]} AS w, {_EXTENT[1]} AS h FROM de),
+pq AS (SELECT page, max({{'audited_at': audited_at, 'document': document, 'revision': revision, 'image': source_image_sha256}}) AS z FROM page_audit WHERE page IS NOT NULL GROUP BY 1),
+li AS (SELECT x.document AS document, max(x.license) AS license FROM a GROUP BY 1),
+tx AS (SELECT source_page, string_agg(text, ' ' ORDER BY line_index) AS text FROM al GROUP BY 1),
+pf AS (SELECT pq.page, z.document AS document, CASE WHEN z.revision % 10 = 0 THEN 3 ELSE 4 END AS quality, z.image AS image, z.revision AS revision, li.license, coalesce(tx.text, '') AS text FROM pq LEFT JOIN li ON li.document = z.document LEFT JOIN tx ON tx.source_page = pq.page),
+pr AS (SELECT page, document, CASE WHEN quality <> 4 THEN 'not_validated' WHEN image IS NULL THEN 'missing_image' WHEN revision IS NULL THEN 'missing_revision' WHEN NOT coalesce(contains(lower(license), 'public domain') OR starts_with(lower(license), 'cc ') OR lower(license) = 'cc0', false) THEN 'unusable_license' WHEN length(text) < 24 THEN 'short_text' ELSE {_reason('text', 0.75)} END AS reason FROM pf),
+l AS (SELECT pr.document, al.*, regexp_extract_all(al.text, '(?s).') AS c, ds.w, ds.h FROM al JOIN pr ON pr.page = al.source_page AND pr.reason = 'ok' JOIN ds ON ds.source_page = al.source_page AND ds.line_index = al.line_index),
+lr AS (SELECT document, source_page, line_index, sha256(text) AS hash, CASE WHEN score < 0.68 THEN 'low_alignment' WHEN length(text) < 3 THEN 'short_text' WHEN {_reason('text', 0.75)} <> 'ok' THEN {_reason('text', 0.75)} WHEN len(list_filter(c, lambda x: NOT list_contains(va.a, x))) > 0 THEN 'outside_vocabulary' WHEN (length(text) + coalesce(list_sum(list_transform(list_zip(c, c[2:]), lambda p: CAST(p[1] = p[2] AS INT))), 0)) * 4 > 768 THEN 'too_many_steps' WHEN round_even(w * 48 / greatest(1, h), 0) > 883 THEN 'too_wide' ELSE 'ok' END AS reason FROM l, va),
+f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY document, source_page, line_index) AS k FROM lr WHERE reason = 'ok'),
+r AS (SELECT document, source_page, line_index, reason FROM lr WHERE reason <> 'ok' UNION ALL SELECT document, source_page, line_index, CASE WHEN k = 1 THEN 'ok' ELSE 'duplicate' END FROM f)"""
+
+def _silver(spark, sf) -> dict[str, DataFrame]:
+    """silver_lines.build over the tables: page_audit lists the pages, aligned_lines has the alignment."""
+    keyed = lambda name, *c: table(spark, sf, name).where("source_page is not null and line_index is not null").groupBy("source_page", "line_index").agg(F.max(F.struct(*c)).alias("x"))
+    a = keyed("aligned_lines", "transcription", F.col("source_document").alias("document"), F.col("source_license").alias("license"), F.col("alignment_score").alias("score"))
+    al = a.select("source_page", "line_index", F.coalesce(t.normalize_label(F.col("x.transcription")), F.lit("")).alias("transcription"), F.coalesce(F.col("x.score").cast("double"), F.lit(0.0)).alias("score"))
+    d = keyed("detected_lines", "polygon", F.col("source_document").alias("document")).select("source_page", "line_index", F.lit("").alias("prediction"), g.quad_extent(F.col("x.polygon")).alias("q"))
+    detected = d.join(al.select("source_page", "line_index", F.sha2("transcription", 256).alias("image_hash")), ["source_page", "line_index"], "left").select("source_page", "line_index", "prediction", "q.width", "q.height", "image_hash")
+    p = table(spark, sf, "page_audit").where("page is not null").groupBy(F.col("page").alias("source_page")).agg(F.max(F.struct("audited_at", "document", "revision", F.col("source_image_sha256").alias("image"))).alias("z"))
+    details = p.select("source_page", F.when(F.col("z.revision") % 10 == 0, 3).otherwise(4).alias("quality"), "z.image", "z.revision")
+    files = a.groupBy(F.col("x.document").alias("source_document")).agg(F.max("x.license").alias("license"))
+    texts = al.groupBy("source_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "transcription"))), lambda r: r["transcription"]), " ").alias("text"))
+    v = vocabulary.Vocabulary.of(_train_vocab(spark, sf))
+    return silver_lines.build(p.select(F.col("z.document").alias("source_document"), "source_page"), details, files, texts, detected, v.covers(F.col("transcription")), al)
+
+
+@_query(_SILVER + " SELECT reason, count(*) AS n FROM (SELECT reason FROM pr UNION ALL SELECT reason FROM r) WHERE reason <> 'ok' GROUP BY 1")
 def rejection_ledger(spark, sf):
-    d = table(spark, sf, "aligned_lines").select(F.col("alignment_score").cast("double").alias("score"), F.coalesce(t.normalize_label(F.col("transcription")), F.lit("")).alias("text"))
-    r = silver_lines.line_reason(F.col("text"), F.col("score"), F.lit(True), F.lit(1), F.lit(48))
-    return silver_lines.ledger(d.select(r.alias("reason")))
+    """Why pages and lines are left out, over all gates of the silver-line plan."""
+    return _silver(spark, sf)["ledger"]
+
+
+@_query(_SILVER + " SELECT pr.document AS source_document, pr.page AS source_page, coalesce(d.n, 0) AS detected, coalesce(k.n, 0) AS accepted FROM pr LEFT JOIN (SELECT source_page, count(*) AS n FROM ds GROUP BY 1) d ON d.source_page = pr.page LEFT JOIN (SELECT source_page, count(*) AS n FROM r WHERE reason = 'ok' GROUP BY 1) k ON k.source_page = pr.page WHERE pr.reason = 'ok'")
+def silver_page_audit(spark, sf):
+    """Detected and accepted lines of every page that passes."""
+    return _silver(spark, sf)["page_audit"].select("source_document", "source_page", "detected", "accepted")
+
+
+@_query(_SILVER + " SELECT document AS source_document, source_page, line_index FROM r WHERE reason = 'ok'")
+def silver_accepted(spark, sf):
+    """The lines that the silver-line plan accepts."""
+    return _silver(spark, sf)["accepted"].select("source_document", "source_page", "line_index")
+
+
+@_query()
+def corpus_records(spark, sf):
+    """Corpus records of the documents as articles, under the corpus' limit of 250,000 lines (a reported limit)."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "title", "text")
+    return lines.corpus_lines(d, 250_000)
 
 
 @_query()
@@ -512,10 +580,13 @@ def polygon_order(spark, sf):
     return layout.order_lines(d, ["source_page"], "line_index", "box", 1200.0)
 
 
-def _page_documents(spark, sf, text: str) -> DataFrame:
-    """Aligned lines as documents: a page for each page, a region for each line."""
-    d = table(spark, sf, "aligned_lines").where("source_page is not null").dropDuplicates(["source_page", "line_index"])
-    b = table(spark, sf, "detected_lines").dropDuplicates(["source_page", "line_index"]).select("source_page", "line_index", g.polygon_box(F.col("polygon")).alias("bbox"))
+def _page_documents(spark, sf, text: str, off: bool = False) -> DataFrame:
+    """Aligned lines as documents: a page for each page, a region for each line; its box off by up to 30 each way."""
+    d = _once(table(spark, sf, "aligned_lines"), "source_page", "line_index")
+    b = _once(table(spark, sf, "detected_lines"), "source_page", "line_index").select("source_page", "line_index", g.polygon_box(F.col("polygon")).alias("bbox"))
+    if off:
+        dx, dy = (F.pmod(F.xxhash64("source_page", "line_index", F.lit(k)), F.lit(61)) - 30 for k in (1, 2))
+        b = b.withColumn("bbox", g.box(F.col("bbox.x0") + dx, F.col("bbox.y0") + dy, F.col("bbox.x1") + dx, F.col("bbox.y1") + dy))
     x = d.join(b, ["source_page", "line_index"])
     line = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("order"))
     region = F.struct(F.col("line_index").alias("order"), F.lit("text").alias("label"), "bbox", F.array(line).alias("lines"))
@@ -528,14 +599,14 @@ def document_evaluation(spark, sf):
     """Bootstrap predictions of every page evaluated against the transcriptions: layout, order and text."""
     from bohagi.operators.evaluation import evaluate_documents
 
-    r = evaluate_documents(_page_documents(spark, sf, "transcription"), _page_documents(spark, sf, "prediction"))
+    r = evaluate_documents(_page_documents(spark, sf, "transcription"), _page_documents(spark, sf, "prediction", True))
     return r["layout"].crossJoin(r["order"].select("concordant", "comparable", "accuracy")).crossJoin(r["ocr"].select("samples", "cer", "wer"))  # one row each
 
 
 @_query()
 def page_overlays(spark, sf):
     """Mark-up of every scanned page with a transparent span for each line."""
-    d = table(spark, sf, "text_lines").where("source_page is not null").dropDuplicates(["source_page", "line_order"])
+    d = _once(table(spark, sf, "text_lines"), "source_page", "line_order")
     line = F.struct(F.col("line_order").alias("order"), "bbox", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
     region = F.struct(F.lit("text").alias("label"), F.struct(*[F.lit(v).alias(k) for k, v in (("x0", 0.0), ("y0", 0.0), ("x1", 1000.0), ("y1", 1400.0))]).alias("bbox"), F.array_sort(F.collect_list(line)).alias("lines"))
     p = d.groupBy("source_page", "page_number").agg(region.alias("r"))
