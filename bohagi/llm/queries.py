@@ -63,6 +63,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.lit("image").alias("kind"), "id_a", "id_b").unionByName(b.select(F.lit("text").alias("kind"), "id_a", "id_b"))
 
 
+def p3_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The image pairs of p3_found by themselves."""
+    return split_overlap.image_overlap(table(spark, sf, "mozhi_words"))
+
+
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     """How many evaluation records lie in train, by split and source."""
     w, c = table(spark, sf, "mozhi_words"), table(spark, sf, "corpus_lines")
@@ -145,7 +150,13 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.text_statistics(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p6_paragraphs, p6_page_paragraphs, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics)}
+def p10_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the statistics those that SQL can say."""
+    d = quality.text_statistics(table(spark, sf, "documents"))
+    return d.select("doc_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "ended_lines", "single_letters", "repeated_words", "repeated_lines")])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_after_changes, p2_found, p2_groups, p3_found, p3_images, p3_report, p4_found, p4_forms, p5_found, p5_splits, p6_found, p6_paragraphs, p6_page_paragraphs, p7_found, p7_clean, p8_ids, p9_containers, p10_found, p10_statistics, p10_ratios)}
 
 #: White space as Python counts it, for DuckDB.
 _WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -169,3 +180,19 @@ n AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.k AS x, b.k AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2)
 SELECT x AS doc_id_a, y AS doc_id_b FROM o JOIN n p ON p.k = x JOIN n q ON q.k = y WHERE 2 * o >= p.n + q.n - o""",
 }
+
+_SPLIT = "lower(trim(split))"
+_SIDE = f"SELECT DISTINCT id, lower(trim(image_sha256)) AS h, {_SPLIT} = 'train' AS t FROM mozhi_words WHERE id IS NOT NULL AND trim(image_sha256) <> '' AND {_SPLIT} IN ('train', 'validation', 'test')"
+_PIECES = f"regexp_extract_all(text, '[^{_WS[1:]}+')"
+_ENDS = ", ".join("'" + c + "'" for c in quality.ENDINGS)
+ORACLES |= {
+    "p2_groups": f"""WITH RECURSIVE pr AS ({ORACLES["p2_found"]}), e AS (SELECT doc_id_a AS a, doc_id_b AS b FROM pr UNION SELECT doc_id_b, doc_id_a FROM pr),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), d AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT r.a AS doc_id, min(r.b) AS class_id, min(d.n) AS links FROM r JOIN d ON d.a = r.a GROUP BY 1""",
+    "p3_images": f"SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM ({_SIDE}) a JOIN ({_SIDE}) b ON a.h = b.h AND a.t AND NOT b.t AND a.id <> b.id",
+    "p10_ratios": f"""WITH d AS (SELECT doc_id, {_PIECES} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^{_WS[1:]}')) AS l FROM documents)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS INT) AS n_words, CAST(coalesce(len(l), 0) AS INT) AS n_lines, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0 END AS mean_word_length,
+CASE WHEN len(w) > 0 THEN round(len(list_filter(l, lambda x: right(regexp_replace(x, '{_WS}+$', ''), 1) IN ({_ENDS}))) / len(l), 6) ELSE 0 END AS ended_lines,
+CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: length(x) <= 1)) / len(w), 6) ELSE 0 END AS single_letters,
+CASE WHEN len(w) > 0 THEN round(1 - len(list_distinct(w)) / len(w), 6) ELSE 0 END AS repeated_words, CASE WHEN len(w) > 0 THEN round(1 - len(list_distinct(l)) / len(l), 6) ELSE 0 END AS repeated_lines FROM d""",
+}
