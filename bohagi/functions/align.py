@@ -27,7 +27,23 @@ def _table(a: str, b: str) -> np.ndarray:
 
 
 def edit_distance(a: str, b: str) -> int:
-    return int(_table(a, b)[-1, -1])
+    """By bit vectors: a column of the table is two whole numbers, where it rises and where it falls by one."""
+    if a == b or not a or not b:
+        return 0 if a == b else max(len(a), len(b))
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    rise, fall = full, 0
+    for c in b:
+        same = at.get(c, 0)
+        level = same | fall
+        across = (((same & rise) + rise) ^ rise) | same
+        up, down = fall | (full & ~(across | rise)), rise & across
+        score += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        rise, fall = down | (full & ~(level | up)), up & level
+    return score
 
 
 def align_pair(ref: str, hyp: str) -> list[tuple[str | None, str | None]]:
@@ -83,6 +99,8 @@ def aligned_counts(ref: Column, hyp: Column, chars: tuple[str, ...]) -> Column:
 def boundary_map(source: str, target: str) -> list[int]:
     """For each boundary of source its place in target: along matching blocks, in proportion between them,
     never going back; the last is the end."""
+    if source == target:
+        return list(range(len(source) + 1))
     at: dict[int, int] = {}
     for _, i, j, p, q in SequenceMatcher(None, source, target, autojunk=False).get_opcodes():
         if i == j:

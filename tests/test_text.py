@@ -1,5 +1,5 @@
 import math
-import unicodedata
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bohagi.functions import geometry as g
 from bohagi.functions import text as t
 from bohagi.functions.html import scope_text, strip_html
-from bohagi.functions.align import align_lines, align_pair, edit_distance
+from bohagi.functions.align import _table, align_lines, align_pair, boundary_map, edit_distance
 from bohagi.operators import lines
 from bohagi.plans.word_crops import assert_config
 
@@ -81,6 +81,14 @@ def test_markup(spark):
     assert one(spark, "//a.org/b?c=1#d", t.canonical_url) == "https://a.org/b"
 
 
+def test_edit_distance_by_bits_is_that_of_the_table():
+    rnd = random.Random(2)
+    for _ in range(400):
+        a, b = ("".join(rnd.choices("abc", k=rnd.randint(0, 90))) for _ in range(2))
+        assert edit_distance(a, b) == int(_table(a, b)[-1, -1])
+    assert boundary_map("abc", "abc") == [0, 1, 2, 3]
+
+
 def test_alignment():
     assert edit_distance("নদী", "নী") == 1 and edit_distance("", "ab") == 2
     assert ("প", "প") not in align_pair("পথ", "থপ")  # of two equal costs, substitutions are taken
