@@ -103,11 +103,12 @@ def quad_extent(p: Column) -> Column:
     return F.struct(w.alias("width"), h.alias("height"), (h > w * 1.5).alias("rotate"))
 
 
-def clip_detection(b: Column, page_width: Column, page_height: Column) -> Column:
-    """The box within its page; null where nothing is left."""
+def clip_detection(b: Column, page_width: Column, page_height: Column, score: Column | None = None, least: float = 0.0) -> Column:
+    """The box within its page; null where nothing is left, or where a score is given and below the least."""
     x0, y0 = F.greatest(F.lit(0.0), b["x0"]), F.greatest(F.lit(0.0), b["y0"])
     x1, y1 = F.least(page_width.cast("double"), b["x1"]), F.least(page_height.cast("double"), b["y1"])
-    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+    seen = (x1 > x0) & (y1 > y0) if score is None else (x1 > x0) & (y1 > y0) & (score >= least)
+    return F.when(seen, F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
 
 
 def layout_label(index: Column) -> Column:

@@ -22,11 +22,13 @@ def leakage(df: DataFrame, key: str, split: str = "split") -> DataFrame:
 
 def without_overlap(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Rows of validation without keys of train, rows of test without keys of either; the rest as it is.
-    Repeats within a split stay. A key goes to the first split that holds it: one aggregate, one join."""
+    Repeats within a split stay. A key goes to the first split that holds it: one aggregate, one join, past which rows
+    without a key are led, as they would all meet in one task."""
     rank = F.when(F.col(split) == "train", 0).when(F.col(split) == "validation", 1).when(F.col(split) == "test", 2)
     first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(rank).alias("_first"))
-    joined = df.join(first, F.col(key) == F.col("_k"), "left")
-    return joined.where(F.col("_first").isNull() | rank.isNull() | (rank <= F.col("_first"))).drop("_k", "_first")
+    joined = df.where(F.col(key).isNotNull()).join(first, F.col(key) == F.col("_k"), "left")
+    kept = joined.where(F.col("_first").isNull() | rank.isNull() | (rank <= F.col("_first"))).drop("_k", "_first")
+    return kept.unionByName(df.where(F.col(key).isNull()))
 
 
 def first_wins(df: DataFrame, key: str, order: list) -> DataFrame:

@@ -52,17 +52,18 @@ def split_prefix(df: DataFrame, split: str, order: list, n: int) -> DataFrame:
 
 
 def sampling_weights(df: DataFrame, text: str, source: str, mass: dict[str, float], hard: str, boost: float) -> DataFrame:
-    """weight of each row: its source's mass in proportion to boost (texts with a hard character) or 1. One
-    aggregate of a row a source is joined back; no window over a source."""
+    """weight of each row: its source's mass in proportion to boost (texts with a hard character) or 1; null where the
+    source has no mass. The sums of the sources that have one, as many rows at most as mass has entries, are broadcast; no
+    window over a source. Rows without a source are left out."""
     if boost < 1:
         raise ValueError("boost must be at least 1")
     if any(not 0 <= m <= 1 for m in mass.values()):
         raise ValueError("a mass must be between 0 and 1")
     factor = F.when(F.regexp_like(F.col(text), F.lit("[" + "".join(f"\\x{{{ord(c):x}}}" for c in hard) + "]")), boost).otherwise(1.0) if hard else F.lit(1.0)
     d = df.withColumn("_f", F.coalesce(factor, F.lit(1.0)))
-    total = d.groupBy(source).agg(F.sum("_f").alias("_total"))
+    total = d.where(F.col(source).isin(list(mass))).groupBy(source).agg(F.sum("_f").alias("_total"))
     m = F.element_at(F.create_map(*[F.lit(x) for kv in mass.items() for x in (kv[0], float(kv[1]))]), F.col(source))
-    return d.join(F.broadcast(total), source).withColumn("weight", m * F.col("_f") / F.greatest(F.lit(1.0), F.col("_total"))).drop("_f", "_total")
+    return d.where(F.col(source).isNotNull()).join(F.broadcast(total), source, "left").withColumn("weight", m * F.col("_f") / F.greatest(F.lit(1.0), F.col("_total"))).drop("_f", "_total")
 
 
 def draw(df: DataFrame, weight: str, n: int, order: list[str], seed: int = 0) -> DataFrame:

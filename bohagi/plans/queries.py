@@ -551,10 +551,10 @@ def canvas_widths(spark, sf):
     return d.select("id", "canvas", g.output_length(F.col("canvas")).alias("steps"))
 
 
-@_query("""WITH b AS (SELECT DISTINCT source_page, id, greatest(0.0, bbox.x0) AS x0, greatest(0.0, bbox.y0) AS y0, least(700.0, bbox.x1) AS x1, least(1200.0, bbox.y1) AS y1 FROM text_lines) SELECT source_page, id, x0, y0, x1, y1 FROM b WHERE x1 > x0 AND y1 > y0""")
+@_query("""WITH b AS (SELECT DISTINCT source_page, id, confidence, greatest(0.0, bbox.x0) AS x0, greatest(0.0, bbox.y0) AS y0, least(700.0, bbox.x1) AS x1, least(1200.0, bbox.y1) AS y1 FROM text_lines) SELECT source_page, id, x0, y0, x1, y1 FROM b WHERE x1 > x0 AND y1 > y0 AND confidence >= 0.5""")
 def clipped_boxes(spark, sf):
-    """Boxes within a page of 700 by 1200, those outside dropped."""
-    d = table(spark, sf, "text_lines").select("source_page", "id", g.clip_detection(F.col("bbox"), F.lit(700), F.lit(1200)).alias("b")).where("b is not null").distinct()
+    """Boxes within a page of 700 by 1200 of a confidence of a half or more, those outside dropped."""
+    d = table(spark, sf, "text_lines").select("source_page", "id", "confidence", g.clip_detection(F.col("bbox"), F.lit(700), F.lit(1200), F.col("confidence"), 0.5).alias("b")).where("b is not null").distinct()
     return d.select("source_page", "id", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
