@@ -1,8 +1,8 @@
 """Problem 3: records of evaluation splits that lie in the training split as well, exactly or almost.
 
 Images meet by hash. Texts meet in a weighted cosine join between the splits, over distinct texts. A text's
-vector has a term for each run of Q characters; the squared weight of a term is 1 less its share in a sample,
-so that rare runs weigh most. e edits destroy at most Q runs each, so a match keeps a dot product of at least
+vector has a term for each run of Q characters; the squared weight of a term is 1 less its share of the
+texts, so that rare runs weigh most. e edits destroy at most Q runs each, so a match keeps a dot product of at least
 |x|_1 - (the Q e greatest squared weights), for either side: that is the bound the edit limit gives the cosine.
 
 1. Inverted lists hold a part of each evaluation text's vector: of all sets of e + 1 runs that don't overlap the
@@ -11,14 +11,14 @@ so that rare runs weigh most. e edits destroy at most Q runs each, so a match ke
 2. All runs of the training texts probe the lists, within the bounds of length and place that e edits leave;
    signatures, counts of characters and of pairs of them by classes, which an edit changes by two and four at
    most, bound the distance from below. A bitmap of the listed runs, with their length and place, keeps
-   training runs that can meet none of them from being shuffled. Runs that a sample shows in very many texts are
+   training runs that can meet none of them from being shuffled. Runs that are in very many texts are
    salted: the training rows are spread, the listed ones repeated.
 3. A candidate is dropped where the norms bound its dot product below the threshold (|x . y| <= |x| |y|), or where
    listed terms met and the norms of the two residuals do; what is left has its exact dot product, and what
    reaches the bound its edit distance, which decides. Equal texts are candidates like all others.
 
-The weights come from a table of fixed size over a bounded sample of lines; they decide how much work
-there is, never the result. The bitmap has some 64 bits for each cell of a listed run up to 2^29 in all (64 MB); beyond, it
+The weights come from a table of fixed size in which the runs of all texts are counted (runs that share a cell are
+counted as one); they decide how much work there is, never the result. The bitmap has some 64 bits for each cell of a listed run up to 2^29 in all (64 MB); beyond, it
 fills up and more training runs are shuffled, with the same result.
 """
 
@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from bohagi.llm.words import char_codes, map_batches, normal, pieces, windows
 from bohagi.session import materialize
 
-#: Characters in a run; lines sampled for their frequencies; size of the table; least and most bits of the bitmap.
-Q, SAMPLE_LINES, TABLE, BITMAPS = 6, 40_000, 1 << 22, (1 << 20, 1 << 29)
+#: Characters in a run; cells of the table of their counts, and of the parts it is sent in; least and most bits of the bitmap.
+Q, TABLE, TABLE_PART, BITMAPS = 6, 1 << 22, 1 << 12, (1 << 20, 1 << 29)
 #: Texts up to this length have their best set of runs; longer ones the best run of each of e + 1 stretches.
 PLANNED = 400
 #: Cells of the bitmap's length (a logarithm) and place.
 LENGTH_BASE, PLACE_CELL = 1.25, 16
-#: Texts with a run by the sample above which its rows are spread over more tasks.
+#: Texts with a run above which its rows are spread over more tasks.
 HOT_ROWS = 200_000
 
 
@@ -182,16 +182,16 @@ def _records(df: DataFrame, key: str, text: str, split: str, least: int, texts:
     return map_batches(d, run, ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
-def _salts(f: np.ndarray, scale: float) -> np.ndarray:
-    """Over how many tasks the rows of runs of these sampled frequencies are spread."""
-    return np.clip(np.ceil(f * (scale / HOT_ROWS)), 1, 4096).astype(np.int64)
+def _salts(f: np.ndarray) -> np.ndarray:
+    """Over how many tasks the rows of runs of these counts are spread."""
+    return np.clip(np.ceil(f / HOT_ROWS), 1, 4096).astype(np.int64)
 
 
 def _salted(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return h + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _runs(texts: DataFrame, side: int, freq, scale: float, bits=None) -> DataFrame:
+def _runs(texts: DataFrame, side: int, freq, bits=None) -> DataFrame:
     """(h, tk, at, chars, pairs), at being length and place and tk the beginning of tid: the runs chosen by weight, one for
     each of their salts, or all runs that the bitmap has, with one salt."""
 
@@ -201,7 +201,7 @@ def _runs(texts: DataFrame, side: int, freq, scale: float, bits=None) -> DataFra
             keys = np.array([int.from_bytes(t[:8], "big", signed=True) for t in p.column(0).to_pylist()], np.int64)
             h, owner, place, lens = flat_runs(ts)
             k = np.arange(len(h)) if bits is not None else listed_runs(h, owner, place, lens, freq.value)
-            n = _salts(freq.value[(h[k] & np.uint64(TABLE - 1)).astype(np.int64)], scale)
+            n = _salts(freq.value[(h[k] & np.uint64(TABLE - 1)).astype(np.int64)])
             if bits is None:
                 k = np.repeat(k, n)
                 salt = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
@@ -218,17 +218,58 @@ def _runs(texts: DataFrame, side: int, freq, scale: float, bits=None) -> DataFra
     return map_batches(texts.where(F.col("side") == side).select("tid", "t"), run, "h long, tk long, at long, chars long, pairs long")
 
 
-def _frequencies(texts: DataFrame, rows: int) -> np.ndarray:
-    def run(b: pa.RecordBatch):
-        h = flat_runs(b.column(0).to_pylist())[0]
-        k, n = np.unique((h & np.uint64(TABLE - 1)).astype(np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+def pack(a: np.ndarray) -> bytes:
+    """The bytes of an array compressed, the first of all numbers before the second: the high ones are mostly 0."""
+    return pa.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
-    part = texts.sample(min(1.0, SAMPLE_LINES / max(rows, 1)), seed=3).select("t")
-    got = map_batches(part, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    out = np.zeros(TABLE, np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return np.minimum(out, 65_535).astype(np.uint16)
+
+def unpack(x: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(x, n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, n).T).reshape(-1).view(kind)
+
+
+class Packed:
+    """An array to broadcast: compressed in the files that the driver and each executor keep of it, and the array itself
+    where it is read."""
+
+    def __init__(self, a: np.ndarray) -> None:
+        self.a = a
+
+    def __reduce__(self):
+        return unpack, (pack(self.a), len(self.a), self.a.dtype.str)
+
+
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many runs of all texts fall into each cell of the table. A task counts its own in one table, and its parts
+    are sent compressed and added up, so what is shuffled follows the tasks and not the runs."""
+
+    def count(batches):
+        have = np.zeros(TABLE, np.uint32)
+        for b in batches:
+            for p in pieces(b, 2_000):
+                np.add.at(have, (flat_runs(p.column(0).to_pylist())[0] & np.uint64(TABLE - 1)).astype(np.int64), np.uint32(1))
+        parts = have.reshape(-1, TABLE_PART)
+        k = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([pack(parts[i]) for i in k], pa.binary())], ["part", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(TABLE_PART, np.uint64)
+        for x in t.column("n").to_pylist():
+            total += unpack(x, TABLE_PART, "uint32")
+        n = pack(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))
+        return pa.Table.from_arrays([t.column("part").combine_chunks()[:1], pa.array([n], pa.binary())], ["part", "n"])
+
+    got = texts.select("t").mapInArrow(count, "part long, n binary").groupBy("part").applyInArrow(add, "part long, n binary").toArrow()
+    out = np.zeros((TABLE // TABLE_PART, TABLE_PART), np.uint32)
+    for k, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        out[k] = unpack(x, TABLE_PART, "uint32")
+    return out.reshape(-1)
+
+
+def _shares(freq: np.ndarray, rows: int) -> np.ndarray:
+    """The counts as shares of so many texts, in 65,536ths below 1."""
+    return np.minimum(freq * (65_536 / max(rows, 1)), 65_535).astype(np.uint16)
 
 
 def _bitmap(listed: DataFrame) -> np.ndarray:
@@ -302,11 +343,10 @@ def text_links(df: DataFrame, key: str = "id", text: str = "text", split: str =
     second of train; members (id, side, tid) of every record, side 1 being evaluation. See text_overlap."""
     spark = df.sparkSession
     texts = materialize(_records(df, key, text, split, least, True).groupBy("side", "tid").agg(F.first("t").alias("t")), "texts")
-    rows = texts.count()
-    freq = spark.sparkContext.broadcast(_frequencies(texts, rows))
-    scale = max(1.0, rows / SAMPLE_LINES)
-    listed = materialize(_runs(texts, 1, freq, scale), "listed")
-    met = _runs(texts, 0, freq, scale, spark.sparkContext.broadcast(_bitmap(listed)))
+    counts = _frequencies(texts)
+    freq, shares = (spark.sparkContext.broadcast(Packed(x)) for x in (counts, _shares(counts, texts.count())))
+    listed = materialize(_runs(texts, 1, freq), "listed")
+    met = _runs(texts, 0, freq, spark.sparkContext.broadcast(_bitmap(listed)))
     a = listed.select("h", *[F.col(c).alias(f"{c}_a") for c in ("tk", "at", "chars", "pairs")])
     b = met.select("h", *[F.col(c).alias(f"{c}_b") for c in ("tk", "at", "chars", "pairs")])
     len_a, len_b = F.shiftright("at_a", 32), F.shiftright("at_b", 32)
@@ -320,7 +360,7 @@ def text_links(df: DataFrame, key: str = "id", text: str = "text", split: str =
     side = lambda k, x: texts.where(F.col("side") == k).select(short.alias(f"tk_{x}"), F.col("tid").alias(f"tid_{x}"), F.col("t").alias(f"t_{x}"))
     both = cand.join(side(1, "a"), "tk_a").join(side(0, "b"), "tk_b")
     limit = F.floor(F.greatest(F.length("t_a"), F.length("t_b")) / 10).cast("int")
-    close = _scored(both, freq).where((F.col("t_a") == F.col("t_b")) | (F.call_function("levenshtein", F.col("t_a"), F.col("t_b"), limit) >= 0))  # -1 beyond the limit
+    close = _scored(both, shares).where((F.col("t_a") == F.col("t_b")) | (F.call_function("levenshtein", F.col("t_a"), F.col("t_b"), limit) >= 0))  # -1 beyond the limit
     return materialize(close.select("tid_a", "tid_b"), "close"), _records(df, key, text, split, least, False)
 
 

@@ -337,6 +337,17 @@ def test_weighted_vectors_keep_every_match():
     assert split_overlap.may_match(*map(list, zip(*mixed)), freq).tolist() == [expected(x, y) for x, y in mixed]
 
 
+def test_runs_of_all_texts_are_counted(spark):
+    d = spark.range(0, 50_000, 1, 4).select(F.concat(F.lit("ABCDEF"), F.lpad(F.col("id").cast("string"), 6, "x")).alias("t"))
+    d = d.unionByName(spark.createDataFrame([("GHIJKL",)], "t string"))
+    freq = split_overlap._frequencies(d)
+    want = np.zeros(split_overlap.TABLE, np.int64)
+    np.add.at(want, (split_overlap.flat_runs([r["t"] for r in d.collect()])[0] & np.uint64(split_overlap.TABLE - 1)).astype(np.int64), 1)
+    cell = lambda t: int(split_overlap.flat_runs([t])[0][0] & np.uint64(split_overlap.TABLE - 1))
+    assert (freq == want).all() and freq[cell("ABCDEF")] >= 50_000 and freq[cell("GHIJKL")] >= 1
+    assert not split_overlap._frequencies(d.limit(0)).any()
+
+
 def test_image_overlap(spark):
     d = spark.createDataFrame([("1", "AB", "train"), ("2", "ab", "Test "), ("3", None, "test"), ("4", "ab", None), ("2", "ab", "Test "), ("5", "", "train"), ("6", "", "test")], "id string, image_sha256 string, split string")
     assert [tuple(r) for r in split_overlap.image_overlap(d).collect()] == [("1", "2")]
