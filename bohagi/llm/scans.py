@@ -36,22 +36,38 @@ PAGE_WORD = "পৃষ্ঠা"
 #: Pairs of letters that scans confuse, each put down as the first.
 CONFUSED = {"ণ": "ন", "ল": "ন", "ৰ": "ব", "র": "ব", "ৱ": "ব", "ষ": "য", "প": "গ", "স": "ম", "শ": "ম", "ঙ": "ড", "ভ": "ত", "থ": "খ", "ঘ": "য", "ক": "ফ", "ছ": "চ", "জ": "ড"}
 
-_LETTER = "ঁ-ঃঅ-হ়-ৎৗ-য়ৠ-ৣৰৱ"
-_SEEN = "[^\\sঀ-৿\\-‐‑‒–—'’‘ʼ./।॥]"
-_OTHER = "[^\\sঀ-৿]"
+#: The letters and marks of the block; what may stand with a foreign sign between two of them; the signs that count.
+_LETTER = "\u0980-\u0983\u0985-\u09b9\u09bc-\u09ce\u09d7-\u09e3\u09f0\u09f1\u09fc\u09fe"
+_OTHER = f"[^\\s{_LETTER}]"
+_SEEN = "[^\\s\u0980-\u09ff\\-\u2010\u2011'\u2019\u2018\u02bc./\u0964\u0965]"
 MISREAD = re.compile(f"(?<=[{_LETTER}]){_OTHER}*?{_SEEN}{_OTHER}*(?=[{_LETTER}])")
-_HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
+#: What Unicode says is ignored where it is displayed, and control characters.
+_HIDDEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff0-\ufffb\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 _CONTROL = re.compile("[\u0000-\u0008\u000e-\u001b\u007f-\u0084\u0086-\u009f]")
+_LONG_DASH = re.compile("[\u2012-\u2015]")
 _END = re.compile(f"(\\S*?)( *)([{BREAKS}{re.escape(DASHES)}])[\\s​‌‍⁠﻿]*$")
 _NUMBER_AT_END = re.compile(r"^\s*[\d]{1,4}\s+|(?:\s{2,}|\s*[|·•]\s*)[\d]{1,4}\s*$")
 _DECOR = re.compile(r"^[\s|\-–—~*·•\[\]().:]+|[\s|\-–—~*·•\[\]().:]+$")
 
 
 def is_misread(text: str) -> bool:
-    """Whether a foreign visible character stands between two letters or signs of a word."""
+    """Whether a visible character that is not of the block, nor a hyphen, apostrophe, full stop (danda) or slash, stands
+    between two letters or signs of a word, alone or with any others. A dash is no hyphen."""
     return bool(MISREAD.search(_CONTROL.sub("", _HIDDEN.sub("", text))))
 
 
+def misread_parts(before: str, after: str) -> tuple[bool, bool]:
+    """Whether there is such a character in the first, and in the second, part of a word that goes on in another line."""
+    b, a = (_CONTROL.sub("", _HIDDEN.sub("", x)) for x in (before, after))
+    at = [m.start() + i for m in MISREAD.finditer(b + a) for i, c in enumerate(m[0]) if re.match(_SEEN, c)]
+    return any(i < len(b) for i in at), any(i >= len(b) for i in at)
+
+
+def _spoilt(piece: str) -> bool:
+    """Whether a piece is one to repair: a dash by itself may part two words and stays as it is."""
+    return is_misread(_LONG_DASH.sub("-", piece))
+
+
 def furniture_core(text: str) -> str:
     """A line without decoration and without a page number set beside it."""
     t = _DECOR.sub("", text)
@@ -174,15 +190,12 @@ def furniture(pages: DataFrame, edge: int = EDGE) -> DataFrame:
     return headers.unionByName(page_numbers).distinct()
 
 
-def _first_word(t: str) -> str:
-    for x in t.split():
-        if w := _bare[x]:
-            return w[0]
-    return ""
+def _first_piece(t: str) -> str:
+    return next((x for x in t.split() if _bare[x]), "")
 
 
-def _last_part(t: str) -> tuple[str, str] | None:
-    """(word before the break, class) of a line that ends in a hyphen: sure, open or dash."""
+def _last_part(t: str) -> tuple[str, str, str] | None:
+    """(word before the break, class, the piece it stands in) of a line that ends in a hyphen: sure, open or dash."""
     m = _END.search(t)
     if not m:
         return None
@@ -192,12 +205,14 @@ def _last_part(t: str) -> tuple[str, str] | None:
         return None
     gap = bool(m[2]) or not m[1]
     kind = "sure" if m[3] in BREAKS else "dash" if m[3] == "–" and gap else "open"
-    return w[-1], kind
+    return w[-1], kind, before
 
 
 def _line_facts(pages: DataFrame, marks: DataFrame) -> DataFrame:
     """(what, src, doc, pn, page, no, own, w1, w2, sure): misread lines, line ends that may be broken words
-    (w2 is null if the page ends there) and the first word of each page, furniture left out."""
+    (w2 is null if the page ends there) and the first word of each page, furniture left out (no is its line, w1 the piece
+    it stands in, sure whether the table has the line). Also line ends where the word is misread if it is a broken one: cut
+    (w1 is the number of the misread line), or tail, with its last piece, where the page ends."""
     m = marks.groupBy("page").agg(F.collect_set("no").alias("out"))
 
     def run(b: pa.RecordBatch):
@@ -211,13 +226,18 @@ def _line_facts(pages: DataFrame, marks: DataFrame) -> DataFrame:
                     if mine and is_misread(t):
                         rows.append(("misread", *at, no, own, None, None, None))
                 body = [x for x in body if x[0] not in out]
-                first = next((w for _, t, _ in body if (w := _first_word(t))), None)
+                first = next(((no, x, mine) for no, t, mine in body if (x := _first_piece(t))), None)
                 if first:
-                    rows.append(("first", *at, None, own, None, first, None))
+                    rows.append(("first", *at, first[0], own, first[1], _bare[first[1]][0], first[2]))
                 for k, (no, t, mine) in enumerate(body):
                     if mine and (e := _last_part(t)) and e[1] != "dash":
-                        follow = next((w for i in range(k + 1, len(body)) if (w := _first_word(body[i][1]))), None)
-                        rows.append(("end", *at, no, own, e[0], follow, e[1] == "sure"))
+                        follow = next(((body[i][0], x, body[i][2]) for i in range(k + 1, len(body)) if (x := _first_piece(body[i][1]))), None)
+                        rows.append(("end", *at, no, own, e[0], _bare[follow[1]][0] if follow else None, e[1] == "sure"))
+                        if follow is None:
+                            rows.append(("tail", *at, no, own, e[2], None, None))
+                        else:
+                            here, there = misread_parts(e[2], follow[1])
+                            rows += [("cut", *at, no, own, str(n), None, None) for n, bad in ((no, here), (follow[0], there and follow[2])) if bad]
         cols = list(zip(*rows)) or [()] * 10
         types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["what", "src", "doc", "pn", "page", "no", "own", "w1", "w2", "sure"])
@@ -266,12 +286,33 @@ def vocabulary(pages: DataFrame, more: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _misread_breaks(facts: DataFrame, broken: DataFrame) -> DataFrame:
+    """(src, own, page, no): lines with a misread character beside the break of a word, which stands between two letters of
+    the word but not of the line."""
+    keys = ["src", "own", "page", "no"]
+    cut = facts.where("what = 'cut'").select(*keys, F.col("page").alias("at"), F.col("w1").cast("int").alias("bad"))
+    nxt = facts.where("what = 'first'").select("src", "doc", (F.col("pn") - 1).alias("pn"), "own", F.col("page").alias("at"), F.col("no").alias("over"), F.col("w1").alias("after"), F.col("sure").alias("mine"))
+    tail = facts.where("what = 'tail'").join(nxt, ["src", "doc", "pn", "own"]).select(*keys, F.col("w1").alias("before"), "at", "over", "after", "mine")
+
+    def run(b: pa.RecordBatch):
+        rows = []
+        for x in _lines(b):
+            here, there = misread_parts(x["before"], x["after"])
+            rows += [(*(x[c] for c in keys), *at) for at, bad in (((x["page"], x["no"]), here), ((x["at"], x["over"]), there and x["mine"])) if bad]
+        cols = list(zip(*rows)) or [()] * 6
+        types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*keys, "at", "bad"])
+
+    cut = cut.unionByName(map_batches(tail, run, "src string, own string, page string, no int, at string, bad int"))
+    return cut.join(broken.hint("merge"), keys, "left_semi").select("src", "own", F.col("at").alias("page"), F.col("bad").alias("no"))
+
+
 def _unspoilt(found: DataFrame) -> DataFrame:
     """Retrieved rows (query, word, edits, n) whose word has no misread sign, unless it is the query itself."""
 
     def run(b: pa.RecordBatch):
         q, w = b.column(0).to_pylist(), b.column(1).to_pylist()
-        yield b.filter(pa.array([x == y or not is_misread(y) for x, y in zip(q, w)], pa.bool_()))
+        yield b.filter(pa.array([x == y or not _spoilt(y) for x, y in zip(q, w)], pa.bool_()))
 
     return map_batches(found.select("query", "word", "edits", "n"), run, "query string, word string, edits int, n long")
 
@@ -316,8 +357,10 @@ def noise(detected: DataFrame, aligned: DataFrame, lines: DataFrame, more: DataF
     placed = has.join(marks, ["page", "no"]).select("source_table", "page", "no", "kind")
     t = _table_of(F.col("src"), F.col("own")).alias("source_table")
     mis = facts.where("what = 'misread'").select(t, "page", "no", F.lit("misread").alias("kind"))
-    hyph = broken_words(facts, vocab).select(t, "page", "no", F.lit("hyphen").alias("kind"))
-    return placed.unionByName(mis).unionByName(hyph).select("source_table", F.col("page").alias("source_page"), F.col("no").alias("line_no"), "kind").distinct()
+    broken = materialize(broken_words(facts, vocab), "broken")
+    over = _misread_breaks(facts, broken).select(t, "page", "no", F.lit("misread").alias("kind"))
+    hyph = broken.select(t, "page", "no", F.lit("hyphen").alias("kind"))
+    return placed.unionByName(mis).unionByName(over).unionByName(hyph).select("source_table", F.col("page").alias("source_page"), F.col("no").alias("line_no"), "kind").distinct()
 
 
 def _token_parts(token: str) -> tuple[str, str, str]:
@@ -328,7 +371,7 @@ def _token_parts(token: str) -> tuple[str, str, str]:
         i += 1
     while i < j and unicodedata.category(t[j - 1])[0] not in "LMN":
         j -= 1
-    return t[:i], t[j:], unicodedata.normalize("NFC", MISREAD.sub("?", t[i:j]))
+    return t[:i], t[j:], unicodedata.normalize("NFC", MISREAD.sub(lambda m: "?" if re.search(_SEEN, _LONG_DASH.sub("", m[0])) else m[0], t[i:j]))
 
 
 def _suspects(pages: DataFrame) -> DataFrame:
@@ -339,9 +382,9 @@ def _suspects(pages: DataFrame) -> DataFrame:
         for ls in b.column(0).to_pylist():
             for own in ("d", "a"):
                 for x in ls:
-                    if x[own] and is_misread(x[own]):
+                    if x[own] and _spoilt(x[own]):
                         ps = x[own].split()
-                        rows.update((p, (_bare[ps[i - 1]] or ("",))[-1] if i else "") for i, p in enumerate(ps) if is_misread(p))
+                        rows.update((p, (_bare[ps[i - 1]] or ("",))[-1] if i else "") for i, p in enumerate(ps) if _spoilt(p))
         cols = list(zip(*rows)) or [(), ()]
         cols = [*cols, [_token_parts(t)[2] for t in cols[0]]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["token", "prev", "query"])
@@ -404,9 +447,9 @@ def _page_paragraphs(detected: DataFrame, aligned: DataFrame, lines: DataFrame,
         for page, ls in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for own in ("d", "a"):
                 for x in ls:
-                    if x[own] and is_misread(x[own]):
+                    if x[own] and _spoilt(x[own]):
                         ps = x[own].split()
-                        rows.update((page, p, (_bare[ps[i - 1]] or ("",))[-1] if i else "") for i, p in enumerate(ps) if is_misread(p))
+                        rows.update((page, p, (_bare[ps[i - 1]] or ("",))[-1] if i else "") for i, p in enumerate(ps) if _spoilt(p))
         cols = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["page", "token", "prev"])
 

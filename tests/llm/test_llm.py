@@ -550,6 +550,31 @@ def test_misread_definition():
         assert not scans.is_misread(t), t
 
 
+def test_misread_leaves_no_visible_sign_out():
+    # dashes are no hyphens; rare letters and marks of the block; digits and signs of the block beside the foreign one
+    for t in ("ক—খ", "ক–খ", "ক\u2012খ", "ক\u2015খ", "\u0980#ক", "\u09fc#ক", "ক\u09fe#খ", "ক#\u09fe", "ক১#খ", "ক#১খ", "ক\u09f3#খ", "ক\u202a#\u202cখ"):
+        assert scans.is_misread(t), ascii(t)
+    for t in ("ক\u202aখ", "ক\ufe0fখ", "ক\u061cখ", "ক\u034fখ", "ক।খ", "ক১খ", "ক\u09f3খ", "১#খ", "ক —খ"):
+        assert not scans.is_misread(t), ascii(t)
+
+
+def test_misread_beside_the_break_of_a_word(spark):
+    assert scans.misread_parts("পথা#", "ৰত") == (True, False) and scans.misread_parts("পথা", "#ৰত") == (False, True) and scans.misread_parts("পথা", "ৰত#") == (False, False)
+    pages = {1: ["মাঘত পথা#‐", "ৰত আহি গছ-", "^বোন আছে মাঘত", "মানুহ আহি পথা@-"], 2: ["*ৰত আহি মানুহ", "আছে মানুহ%-", "নদী আহি"]}
+    rows = [("b.pdf", f"পৃষ্ঠা:b.pdf/{n}", i, t) for n, ls in pages.items() for i, t in enumerate(ls)]
+    d = spark.createDataFrame(rows, "source_document string, source_page string, line_index int, prediction string").withColumn("ingested_at", F.timestamp_micros(F.lit(1)))
+    a = spark.createDataFrame([], "source_document string, source_page string, line_index int, transcription string")
+    none = spark.createDataFrame([], "document_id string, source_page string, line_order int, text string")
+    more = spark.createDataFrame([("মানুহ নদী গছ গছবোন পথাৰত",)], "text string")
+    got = {(r["source_page"][-1], r["line_no"], r["kind"]) for r in scans.noise(d, a, none, more).collect()}
+    # after মানুহ stands a dash, as no word begins so and goes on with নদী
+    assert got == {("1", 0, "misread"), ("1", 0, "hyphen"), ("1", 1, "hyphen"), ("1", 2, "misread"), ("1", 3, "hyphen"), ("1", 3, "misread"), ("2", 0, "misread")}
+
+
+def test_dashes_are_not_repaired_away(spark):
+    assert page_text(spark, ["মাঘত মানুহ—যি আছে", "গছ#বোন আছে"], ["মানুহটি গছবোন"] * 3) == "মাঘত মানুহ—যি আছে গছবোন আছে"
+
+
 TABLES = "/root/testdata/sf0.001"
 
 
