@@ -18,7 +18,7 @@ texts, so that rare runs weigh most. e edits destroy at most Q runs each, so a m
    reaches the bound its edit distance, which decides. Equal texts are candidates like all others.
 
 The weights come from a table of fixed size in which the runs of all texts are counted (runs that share a cell are
-counted as one); they decide how much work there is, never the result. The bitmap has some 64 bits for each cell of a listed run up to 2^29 in all (64 MB); beyond, it
+counted as one); they decide how much work there is, never the result. A second bitmap, of the candidates, keeps texts without any from being shuffled. The bitmap of runs has some 64 bits for each cell of a listed run up to 2^29 in all (64 MB); beyond, it
 fills up and more training runs are shuffled, with the same result.
 """
 
@@ -209,7 +209,7 @@ def _runs(texts: DataFrame, side: int, freq, bits=None) -> DataFrame:
             else:
                 salted = _salted(h, keys[owner] % n)
                 at = cells(salted, length_cell(lens)[owner], place // PLACE_CELL, 8 * len(bits.value))
-                k = np.flatnonzero((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                k = _has(bits.value, at)
                 salted = salted[k]
             chars, neighbours = signatures(ts)
             cols = (salted.view(np.int64), keys[owner[k]], lens[owner[k]] << 32 | place[k], chars[owner[k]], neighbours[owner[k]])
@@ -230,14 +230,14 @@ def unpack(x: bytes, n: int, kind: str) -> np.ndarray:
 
 
 class Packed:
-    """An array to broadcast: compressed in the files that the driver and each executor keep of it, and the array itself
-    where it is read."""
+    """An array to broadcast: compressed in the driver and in the files that it and each executor keep, and the array
+    itself where it is read."""
 
     def __init__(self, a: np.ndarray) -> None:
-        self.a = a
+        self.args = pack(a), len(a), a.dtype.str
 
     def __reduce__(self):
-        return unpack, (pack(self.a), len(self.a), self.a.dtype.str)
+        return unpack, self.args
 
 
 def _frequencies(texts: DataFrame) -> np.ndarray:
@@ -272,29 +272,50 @@ def _shares(freq: np.ndarray, rows: int) -> np.ndarray:
     return np.minimum(freq * (65_536 / max(rows, 1)), 65_535).astype(np.uint16)
 
 
-def _bitmap(listed: DataFrame) -> np.ndarray:
-    """The bits of all listed runs: each task sets its own in words of 64, which are then joined."""
+def _bitmap(df: DataFrame, columns: list[str], wanted: int, places) -> np.ndarray:
+    """The bits that places(size, *columns) names, of some so many: each task sets its own in words of 64, which are then
+    joined."""
     size = BITMAPS[0]
-    wanted = min(256 * listed.count(), BITMAPS[1])  # a run has some four cells
-    while size < wanted:
+    while size < min(wanted, BITMAPS[1]):
         size *= 2
 
     def run(batches):
         have = np.zeros(size // 8, np.uint8)
         for b in batches:
-            h, at = (b.column(i).to_numpy() for i in range(2))
-            at = listed_cells(h.view(np.uint64), at >> 32, at & 0xFFFFFFFF, size)
+            at = places(size, *(b.column(i).to_numpy() for i in range(len(columns))))
             np.bitwise_or.at(have, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         w = have.view(np.int64)
         k = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w[k])], ["w", "bits"])
 
-    got = listed.select("h", "at").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    got = df.select(*columns).mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out.view(np.uint8)
 
 
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+
+
+def _listed_bits(listed: DataFrame) -> np.ndarray:
+    """The bitmap of all listed runs; a run has some four cells."""
+    return _bitmap(listed, ["h", "at"], 256 * listed.count(), lambda size, h, at: listed_cells(h.view(np.uint64), at >> 32, at & 0xFFFFFFFF, size))
+
+
+def _wanted(texts: DataFrame, side: int, cand: DataFrame, x: str) -> DataFrame:
+    """(tk_x, tid_x, t_x): the texts of a side that candidates have, and the few others that share a bit with them: only
+    these are shuffled."""
+    bits = texts.sparkSession.sparkContext.broadcast(Packed(_bitmap(cand, [f"tk_{x}"], 64 * cand.count(), lambda size, tk: tk & (size - 1))))
+
+    def run(b: pa.RecordBatch):
+        tk = np.frombuffer(b"".join(b.column(0).to_pylist()), ">i8")[::2].astype(np.int64)
+        k = _has(bits.value, tk & (8 * len(bits.value) - 1))
+        yield pa.RecordBatch.from_arrays([pa.array(tk[k]), *[b.column(i).take(pa.array(k)) for i in range(2)]], [f"tk_{x}", f"tid_{x}", f"t_{x}"])
+
+    return map_batches(texts.where(F.col("side") == side).select("tid", "t"), run, f"tk_{x} long, tid_{x} binary, t_{x} string")
+
+
 def may_match(x: list[str], y: list[str], freq: np.ndarray) -> np.ndarray:
     """For each pair whether the dot product of the vectors reaches what the edit limit leaves of both. Pairs are bounded
     by their norms first; what passes has its exact product, for all pairs at once."""
@@ -346,7 +367,7 @@ def text_links(df: DataFrame, key: str = "id", text: str = "text", split: str =
     counts = _frequencies(texts)
     freq, shares = (spark.sparkContext.broadcast(Packed(x)) for x in (counts, _shares(counts, texts.count())))
     listed = materialize(_runs(texts, 1, freq), "listed")
-    met = _runs(texts, 0, freq, spark.sparkContext.broadcast(_bitmap(listed)))
+    met = _runs(texts, 0, freq, spark.sparkContext.broadcast(Packed(_listed_bits(listed))))
     a = listed.select("h", *[F.col(c).alias(f"{c}_a") for c in ("tk", "at", "chars", "pairs")])
     b = met.select("h", *[F.col(c).alias(f"{c}_b") for c in ("tk", "at", "chars", "pairs")])
     len_a, len_b = F.shiftright("at_a", 32), F.shiftright("at_b", 32)
@@ -356,9 +377,7 @@ def text_links(df: DataFrame, key: str = "id", text: str = "text", split: str =
     near = (F.abs(len_a - len_b) <= e) & (F.abs(place_a - place_b) <= e) & (apart("chars") <= 2 * e) & (apart("pairs") <= 4 * e)
     cand = materialize(a.join(b, "h").where(near).select("tk_a", "tk_b").distinct(), "candidates")
     # texts are fetched by the beginning of their hash: two that share it are both fetched, and looked at
-    short = F.expr("cast(conv(hex(substring(tid, 1, 8)), 16, -10) as long)")
-    side = lambda k, x: texts.where(F.col("side") == k).select(short.alias(f"tk_{x}"), F.col("tid").alias(f"tid_{x}"), F.col("t").alias(f"t_{x}"))
-    both = cand.join(side(1, "a"), "tk_a").join(side(0, "b"), "tk_b")
+    both = cand.join(_wanted(texts, 1, cand, "a"), "tk_a").join(_wanted(texts, 0, cand, "b"), "tk_b")
     limit = F.floor(F.greatest(F.length("t_a"), F.length("t_b")) / 10).cast("int")
     close = _scored(both, shares).where((F.col("t_a") == F.col("t_b")) | (F.call_function("levenshtein", F.col("t_a"), F.col("t_b"), limit) >= 0))  # -1 beyond the limit
     return materialize(close.select("tid_a", "tid_b"), "close"), _records(df, key, text, split, least, False)

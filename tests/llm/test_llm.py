@@ -348,6 +348,18 @@ def test_runs_of_all_texts_are_counted(spark):
     assert not split_overlap._frequencies(d.limit(0)).any()
 
 
+def test_only_texts_of_candidates_are_shuffled(spark):
+    key = lambda i: f"{i:016d}".encode()
+    texts = spark.createDataFrame([(i % 2, key(i), f"t{i}") for i in range(4_000)], "side int, tid binary, t string")
+    tk = lambda i: int.from_bytes(key(i * 10**10)[:8], "big", signed=True)
+    texts = texts.unionByName(spark.createDataFrame([(s, key(i * 10**10), f"c{i}{s}") for i in range(3, 6) for s in (0, 1)], "side int, tid binary, t string"))
+    cand = spark.createDataFrame([(tk(3), tk(4)), (tk(5), tk(4))], "tk_a long, tk_b long")
+    a, b = (split_overlap._wanted(texts, side, cand, x).collect() for side, x in ((1, "a"), (0, "b")))
+    assert {(r["tk_a"], r["tid_a"], r["t_a"]) for r in a} >= {(tk(i), key(i * 10**10), f"c{i}1") for i in (3, 5)} and len(a) < 10
+    assert {r["t_b"] for r in b} >= {"c40"} and len(b) < 10
+    assert split_overlap._wanted(texts, 0, cand.limit(0), "b").count() == 0
+
+
 def test_image_overlap(spark):
     d = spark.createDataFrame([("1", "AB", "train"), ("2", "ab", "Test "), ("3", None, "test"), ("4", "ab", None), ("2", "ab", "Test "), ("5", "", "train"), ("6", "", "test")], "id string, image_sha256 string, split string")
     assert [tuple(r) for r in split_overlap.image_overlap(d).collect()] == [("1", "2")]
